@@ -5,10 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.tables import table
 
 
+#: The lists of the model output and of the call trace.
+OUTPUT_LISTS = ("user_intent.secondary_intents", *(f"memory_snapshot.{x}" for x in ("facts", "preferences", "avoid_topics", "open_loops", "active_events")))
+INNER_LISTS = (("trace.hops[]", "tries"), ("output.memory_snapshot.active_events[]", "evidence"))
+
+
+def _wire_tree(text: str) -> object:
+    from tessera.functions import jsonx
+
+    wire = jsonx.record(text)
+    return None if wire is None else {"trace": wire.get("trace"), "output": jsonx.output_object(jsonx.answer(wire))}
+
+
+def p3_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Node tables of both nested columns as one, with the type of each node."""
+    from tessera.operators import nested
+    from tessera.session import Scratch
+
+    types = ("trace.hops[]", *(f"output.{x}[]" for x in OUTPUT_LISTS), *(f"{outer}.{name}[]" for outer, name in INNER_LISTS))
+    calls = nested.nodes(table(spark, folder, "export_user_chat_analysis"), F.col("id"), F.col("response"), _wire_tree, types)
+    scores = table(spark, folder, "sample_score")
+    details = nested.nodes(scores, F.col("score_no"), F.to_json("details", {"ignoreNullFields": "false"}), None, ("memory_details[]",))
+    both = calls.withColumn("tbl", F.lit("response")).union(details.withColumn("tbl", F.lit("details")))
+    return Scratch(spark, "nested").keep(both.select("tbl", "doc", "key", "type", "pre", "post", "pos"), "nodes")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.operators import nested
+
+    rows = p3_nodes(spark, folder)
+    place = F.concat(F.expr("substring(type, 1, length(type) - 1)"), F.col("pos").cast("string"), F.lit("]"))
+    deep = [f"{outer}.{name}[]" for outer, name in INNER_LISTS]
+    out = rows.where(~F.col("type").isin(deep)).select("tbl", F.col("key").alias("parent_id"), place.alias("path"))
+    for outer, name in INNER_LISTS:
+        linked = nested.within(rows.where(F.col("type") == f"{outer}.{name}[]"), rows.where(F.col("type") == outer))
+        path = F.concat(F.lit(outer[:-1]), F.col("outer_pos").cast("string"), F.lit(f"].{name}["), F.col("pos").cast("string"), F.lit("]"))
+        out = out.union(linked.select("tbl", F.col("key").alias("parent_id"), path.alias("path")))
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
