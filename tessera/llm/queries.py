@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.tables import table
 
@@ -16,6 +17,64 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.selectExpr("key as row_no", "group_no")
 
 
+def p4_packed(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.packing import packed
+
+    return packed(table(spark, folder, "train_lora"), "row_no", "prompt", "source").select("row_no", "piece_no", "container")
+
+
+def p4_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of containers, the least number that could do, and the share of space used."""
+    from tessera.llm.packing import packed
+
+    found = packed(table(spark, folder, "train_lora"), "row_no", "prompt", "source")
+    total = F.sum("size")
+    return found.agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.ceil(total / 6000).alias("least"), (total / (F.count_distinct("container") * 6000)).alias("used"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.grouped_split import related_groups
+
+    found = related_groups(table(spark, folder, "split_dataset"), "row_no", "prompt", "session_id")
+    return found.where("size > 1").select("row_no", "group_no")
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_no, group_no, size, manifest_id) of all records; a record related to none is its own group."""
+    from tessera.llm.grouped_split import related_groups
+
+    rows = table(spark, folder, "split_dataset")
+    found = related_groups(rows, "row_no", "prompt", "session_id")
+    every = rows.where("row_no is not null").select(F.col("row_no").cast("long").alias("row_no"), "manifest_id").distinct()
+    return every.join(found, "row_no", "left").select("row_no", "manifest_id", F.coalesce("group_no", "row_no").alias("group_no"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def p6_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_no, group_no, split) of every record."""
+    from tessera.llm.grouped_split import deal, split_sizes
+    from tessera.session import Scratch
+
+    rows = Scratch(spark, "assign").keep(_groups(spark, folder), "rows")
+    sizes = split_sizes(table(spark, folder, "split_manifest"))
+    groups = deal(rows.select("group_no", "size").distinct(), sizes)
+    return rows.join(groups.select("group_no", "split"), "group_no").select("row_no", "group_no", "split")
+
+
+def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """For each manifest its groups, those of two or more of its records, and the noted number."""
+    rows = _groups(spark, folder)
+    own = rows.groupBy("manifest_id", "group_no").agg(F.count("*").alias("n"))
+    counts = own.groupBy("manifest_id").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_multi"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows_in_multi"))
+    noted = table(spark, folder, "split_manifest").select("manifest_id", F.col("clusters.n_clusters").alias("noted_clusters"), F.col("clusters.rows_in_multi_member_clusters").alias("noted_rows"))
+    return counts.join(noted, "manifest_id", "full")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.encoding import encode_corpus
+
+    return encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
