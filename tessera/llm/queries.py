@@ -75,6 +75,47 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_holdout"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """For each leaked item, in how many documents, and the longest passage in words."""
+    found = _leaks(spark, folder)
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.count_distinct("doc").alias("documents"), F.max("length").alias("longest"))
+
+
+def p8_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, without the passages of held-out items."""
+    from tessera.llm.leakage import without_spans
+    from tessera.session import Scratch
+
+    found = Scratch(spark, "leaks").keep(_leaks(spark, folder), "found")
+    return without_spans(table(spark, folder, "documents"), "doc_id", "text", found)
+
+
+def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.truncation import truncated
+
+    return truncated(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cuts(spark, folder).where("cut").select(F.col("key").alias("doc_id")).distinct()
+
+
+def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source its texts, the cut ones, their share, and how many stop at a length limit."""
+    found = _cuts(spark, folder)
+    return found.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_at_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
