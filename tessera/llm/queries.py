@@ -32,6 +32,41 @@ def p4_containers(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.ceil(total / 6000).alias("least"), (total / (F.count_distinct("container") * 6000)).alias("used"))
 
 
+def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from tessera.llm.split_overlap import overlaps
+
+    return overlaps(table(spark, folder, "split_dataset"), "row_no", "prompt", "split")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.split_overlap import pairs
+
+    return pairs(*_overlaps(spark, folder)).select("row_a", "row_b").distinct()
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each evaluation split and source, the pairs, the evaluation records in them, and the most words covered."""
+    from tessera.llm.split_overlap import pairs
+
+    members, hits = _overlaps(spark, folder)
+    sources = table(spark, folder, "split_dataset").select(F.col("row_no").alias("eval_no"), "source")
+    covered = hits.select(F.col("row_no").alias("train_no"), "covered")
+    found = pairs(members, hits).join(sources, "eval_no").join(covered, "train_no", "left")
+    return found.groupBy("eval_split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("eval_no").alias("n_records"), F.max("covered").alias("most_words"))
+
+
+def p5_share(spark: SparkSession, folder: str) -> DataFrame:
+    """For each manifest, its test records that occur in training, and their share of sizes.test."""
+    from tessera.llm.split_overlap import pairs
+
+    manifests = table(spark, folder, "split_manifest").select("manifest_id", F.col("sizes.test").alias("test_size"))
+    of = table(spark, folder, "split_dataset").select(F.col("row_no").alias("eval_no"), "manifest_id")
+    found = pairs(*_overlaps(spark, folder)).where("eval_split = 'test'").select("eval_no").distinct().join(of, "eval_no")
+    counts = found.groupBy("manifest_id").agg(F.count("*").alias("n_test"))
+    n = F.coalesce("n_test", F.lit(0))
+    return manifests.join(counts, "manifest_id", "left").select("manifest_id", "test_size", n.alias("n_test"), F.try_divide(n, "test_size").alias("share"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.llm.grouped_split import related_groups
 
