@@ -32,6 +32,22 @@ def p4_containers(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.ceil(total / 6000).alias("least"), (total / (F.count_distinct("container") * 6000)).alias("used"))
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    from tessera.llm.defects import labelled
+
+    calls = table(spark, folder, "export_user_chat_analysis").where("task = 'user_chat_analysis' and status = 1")
+    return labelled(calls, "id", "prompt", "response")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled(spark, folder).where("size(defects) > 0").select(F.col("key").alias("id"), F.expr("defects[0].defect").alias("defect"))
+
+
+def p2_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defect that holds for a call, with its probability."""
+    return _labelled(spark, folder).select(F.col("key").alias("id"), F.inline("defects"))
+
+
 def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     from tessera.llm.split_overlap import overlaps
 
