@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import catalog, corpora, parsing, scores
 from tessera.tables import table
 
 
@@ -49,9 +50,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+_AREAS = (catalog.R, parsing.R, scores.R, corpora.R)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    own = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    return {k: f for r in _AREAS for k, f in r.queries.items()} | own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for r in _AREAS for k, q in r.sql.items()}
