@@ -6,6 +6,7 @@ import json
 import re
 
 _START = re.compile(r"\{\s*[\"}]")
+_SIGN = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}]', re.S)
 _DECODER = json.JSONDecoder()
 
 
@@ -52,32 +53,45 @@ def answer(wire: dict | None) -> str | None:
     return None
 
 
+def _closings(text: str, at: int) -> dict[int, int]:
+    """For the brace at ``at`` and each later one outside strings, the index behind its closing one; those that none closes are left out. One pass."""
+    stack: list[int] = []
+    out: dict[int, int] = {}
+    for m in _SIGN.finditer(text, at):
+        sign = m[0]
+        if sign == '"':  # a string without an end
+            break
+        if sign == "{":
+            stack.append(m.start())
+        elif sign == "}" and stack:
+            out[stack.pop()] = m.end()
+            if not stack:
+                break
+    return out
+
+
 def _closing(text: str, at: int) -> int:
     """Index behind the brace that closes the one at ``at``, strings left out; -1 where none does."""
-    depth = 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|"|[{}]', text[at:], re.S):
-        sign = m[0]
-        if sign == '"':
-            return -1
-        depth += (sign == "{") - (sign == "}")
-        if not depth and sign == "}":
-            return at + m.end()
-    return -1
+    return _closings(text, at).get(at, -1)
 
 
 def objects(text: str | None) -> tuple[list[tuple[int, int, dict]], bool]:
     """(begin, end, value) of each outermost JSON object in a text, and whether one begins but does not end."""
     found: list[tuple[int, int, dict]] = []
+    known: dict[int, int] = {}
     at = 0
     while text and (m := _START.search(text, at)):
+        begin = m.start()
         try:
-            value, end = _DECODER.raw_decode(text, m.start())
-            found.append((m.start(), end, value))
+            value, end = _DECODER.raw_decode(text, begin)
+            found.append((begin, end, value))
             at = end
         except (ValueError, RecursionError):
-            if _closing(text, m.start()) < 0:
+            if begin not in known:
+                known = _closings(text, begin)
+            if begin not in known:
                 return found, True
-            at = m.start() + 1
+            at = begin + 1
     return found, False
 
 

@@ -104,12 +104,12 @@ _LONG = " union all ".join(f"select coalesce(model, 'none') as series, '{d}' as
 
 @R.add(
     f"""
-select series, dim, count(x) as n, round(coalesce(avg(x), 0), 6) as mean, round(median(x), 6) as median, round(stddev_samp(x), 6) as sd, round(quantile_cont(x, 0.1), 6) as p10, round(quantile_cont(x, 0.9), 6) as p90,
-  round(case when count(x) < 2 then 0 else 1.96 * stddev_samp(x) / sqrt(count(x)) end, 6) as half_ci from ({_LONG}) group by series, dim"""
+select series, dim, count(x) as n, round(coalesce(avg(x), 0), 10) as mean, round(median(x), 10) as median, round(stddev_samp(x), 10) as sd, round(quantile_cont(x, 0.1), 10) as p10, round(quantile_cont(x, 0.9), 10) as p90,
+  round(case when count(x) < 2 then 0 else 1.96 * stddev_samp(x) / sqrt(count(x)) end, 10) as half_ci from ({_LONG}) group by series, dim"""
 )
 def series_summary(spark, folder):
     got = compare.summary(_scores(spark, folder), "series", DIMS)
-    return got.select("series", "dim", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "sd", "p10", "p90", "half_ci")))
+    return got.select("series", "dim", "n", *(F.round(c, 10).alias(c) for c in ("mean", "median", "sd", "p10", "p90", "half_ci")))
 
 
 @R.add(f"select coalesce(model, 'none') as series, {', '.join(f'round(count({d}) / count(*), 6) as {d}' for d in DIMS)} from sample_score group by 1")
@@ -135,9 +135,9 @@ def level_shares(spark, folder):
 _VALID = ["intent_score", "summary_score", "memory_precision", "memory_recall", "speaker_attribution", "other"]
 
 
-@R.add(f"select coalesce(model, 'none') as series, count(*) as n, {', '.join(f'round(avg({d}), 6) as {d}' for d in _VALID)} from sample_score where json_valid >= 0.5 group by 1")
+@R.add(f"select coalesce(model, 'none') as series, count(*) as n, {', '.join(f'round(avg({d}), 10) as {d}' for d in _VALID)} from sample_score where json_valid >= 0.5 group by 1")
 def valid_means(spark, folder):
-    return _scores(spark, folder).where("json_valid >= 0.5").groupBy("series").agg(F.count("*").alias("n"), *(F.round(F.avg(d), 6).alias(d) for d in _VALID))
+    return _scores(spark, folder).where("json_valid >= 0.5").groupBy("series").agg(F.count("*").alias("n"), *(F.round(F.avg(d), 10).alias(d) for d in _VALID))
 
 
 _NUMBERED = "s as (select coalesce(model, 'none') as series, row_number() over (partition by coalesce(model, 'none') order by score_no) - 1 as row_no, * from sample_score)"
