@@ -16,7 +16,7 @@ def numbered(df: DataFrame, series: str, order: str) -> DataFrame:
 
 def summary(df: DataFrame, series: str, dims: list[str]) -> DataFrame:
     """(series, dim, n, mean, median, sd, p10, p90, half_ci): the applicable values; the mean of none is 0, the interval of fewer than two 0."""
-    long = df.select(series, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x")) for d in dims))).alias("s")).select(series, "s.*")
+    long = df.select(series, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x")) for d in dims))).alias("_of")).select(series, "_of.*")
     got = long.groupBy(series, "dim").agg(
         F.count("x").alias("n"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("sd"), F.percentile("x", 0.1).alias("p10"), F.percentile("x", 0.9).alias("p90")
     )
@@ -59,7 +59,7 @@ def win_rates(df: DataFrame, series: str, score: str) -> DataFrame:
 def deltas(df: DataFrame, series: str, baseline: str, dims: list[str]) -> DataFrame:
     """(series, dim, delta): oriented means less those of the baseline."""
     means = df.groupBy(series).agg(*(F.avg(oriented(d, F.col(d))).alias(d) for d in dims))
-    long = means.select(series, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("m")) for d in dims))).alias("s")).select(series, "s.*")
+    long = means.select(series, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("m")) for d in dims))).alias("_of")).select(series, "_of.*")
     base = long.where(F.col(series) == baseline).select("dim", F.col("m").alias("base"))
     return long.where(F.col(series) != baseline).join(F.broadcast(base), "dim").select(series, "dim", (F.col("m") - F.col("base")).alias("delta"))
 

@@ -65,11 +65,11 @@ def before(df: DataFrame, groups: list[str], order: str, amount: str) -> DataFra
 
     Sums over the 4096 ranges of the hash come first, so a task sees one range of one group.
     """
-    marked = df.withColumn("range", F.substring(order, 1, 3))
-    sums = marked.groupBy(*groups, "range").agg(F.sum(amount).alias("s"))
-    offset = (F.sum("s").over(Window.partitionBy(*groups).orderBy("range")) - F.col("s")).alias("offset")
-    within = F.sum(amount).over(Window.partitionBy(*groups, "range").orderBy(order)) - F.col(amount)
-    return marked.withColumn("within", within).join(sums.select(*groups, "range", offset), [*groups, "range"]).withColumn("before", F.col("offset") + F.col("within")).drop("range", "within", "offset")
+    marked = df.withColumn("_range", F.substring(order, 1, 3))
+    sums = marked.groupBy(*groups, "_range").agg(F.sum(amount).alias("_sum"))
+    offset = (F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_sum")).alias("_offset")
+    within = F.sum(amount).over(Window.partitionBy(*groups, "_range").orderBy(order)) - F.col(amount)
+    return marked.withColumn("_within", within).join(sums.select(*groups, "_range", offset), [*groups, "_range"]).withColumn("before", F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
 
 
 def stratified_split(rows: DataFrame, key: str, cluster: str, stratum_: str, test: float, dev: float, seed: int = 42) -> DataFrame:
