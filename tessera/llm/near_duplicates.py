@@ -6,7 +6,7 @@ so order does not count). Steps, each a distributed pass:
 1. ``features``: prompt bodies to bags of word ids; exact copies share a 128-bit fingerprint.
 2. ``document_frequency``: counts over all records, in a table of fixed size (2**17 hashed
    slots), so what is broadcast does not grow with the data.
-3. ``signatures``: 6 x 32 consistent weighted samples of sqrt(tf) * idf, folded to 32 band keys.
+3. ``signatures``: 7 x 32 consistent weighted samples of sqrt(tf) * idf, folded to 32 band keys.
 4. ``candidates``: one shuffle by band key; all pairs in a bucket of up to 64 distinct bags,
    neighbours and a star in a larger one, whose pairs over different components follow in ``strays``.
 5. ``verified``: exact weighted Jaccard on the word counts.
@@ -25,13 +25,16 @@ from tessera.llm.words import Vocabulary, bag, body_bytes, word_ids
 from tessera.operators.components import components
 from tessera.session import Scratch
 
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 32, 7
 SAMPLES = BANDS * ROWS
 SLOTS = 1 << 17
 BUCKET = 64
-#: Of 128 sample bits of a pair at least so many agree; at a weighted Jaccard similarity of 0.56,
-#: the least seen at an overlap of 0.85, all but one in 500 pairs of one bucket do.
-AGREE = 86
+#: Bounds of a word's inverse document frequency. Words of a family that holds a third of all rows
+#: would weigh next to nothing without the lower one, and a few changed words all without the upper one.
+LEAST_IDF, MOST_IDF = 1.0, 3.0
+#: Of 128 sample bits of a pair at least so many agree; at a weighted Jaccard similarity of 0.7,
+#: the least seen at an overlap of 0.85, 109 do on average, with a deviation of 4.
+AGREE = 88
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,7 +93,7 @@ def document_frequency(feats: DataFrame) -> tuple[np.ndarray, int]:
     got = feats.select("w").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(SLOTS, np.int64)
     rest = got[got.slot >= 0]
-    df[rest.slot.to_numpy()] = rest.n.to_numpy()
+    df[rest.slot.to_numpy().astype(np.int64)] = rest.n.to_numpy()
     return df, int(got.n[got.slot < 0].sum())
 
 
@@ -144,7 +147,7 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 def signatures(feats: DataFrame, df: np.ndarray, rows: int) -> DataFrame:
     """key, f1, f2, n, s1, s2 (128 sample bits), bands."""
-    idf = feats.sparkSession.sparkContext.broadcast((0.1 + np.log(max(rows, 1) / np.maximum(df, 1))).astype(np.float32))
+    idf = feats.sparkSession.sparkContext.broadcast(np.clip(np.log(max(rows, 1) / np.maximum(df, 1)), LEAST_IDF, MOST_IDF).astype(np.float32))
 
     def run(batches):
         sampler = Sampler(idf.value.astype(np.float64))
