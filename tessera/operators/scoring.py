@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,8 +79,31 @@ def rule_checks(output: dict | None) -> tuple[bool, bool, bool, bool, bool]:
     return True, complete, categories, length_ok, single
 
 
-def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, json, error, checks, items): one Arrow pass over the texts; json is canonical text of the object."""
+# The kinds of the members that the scores read.
+TEXTS = ("rolling_summary", "user_intent.primary_intent", "user_intent.reasoning", "paid_reaction.reaction_type", "paid_reaction.analysis", "ai_performance.identity_awareness")
+NUMBERS = ("ai_performance.naturalness_score",)
+
+
+def right_kinds(output: dict) -> dict:
+    """The object without members of another kind than the scores expect; those count as missing."""
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in output.items()}
+    for paths, kind in ((TEXTS, str), (NUMBERS, (int, float))):
+        for path in paths:
+            holder, _, name = path.rpartition(".")
+            at = out.get(holder) if holder else out
+            if not isinstance(at, dict):
+                out.pop(holder, None)
+            elif name in at and not isinstance(at[name], kind):
+                del at[name]
+    intent = out.get("user_intent")
+    if isinstance(intent, dict):
+        found = intent.get("secondary_intents")
+        intent["secondary_intents"] = [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
+    return out
+
+
+def parsed(df: DataFrame, key: str, text: str, shape: Callable[[dict], dict] | None = None) -> DataFrame:
+    """(key, json, error, checks, items): one Arrow pass over the texts; json is canonical text of the object, after shape."""
     schema = f"{key} {dict(df.dtypes)[key]}, json string, error string, checks struct<{RULES.replace(' ', ':').replace(',:', ',')}>, items array<struct<category:string,text:string>>"
     names = [x.split()[0] for x in RULES.split(", ")]
 
@@ -89,7 +113,7 @@ def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([None if o is None else json.dumps(o, ensure_ascii=False, separators=(",", ":")) for o, _ in outputs], pa.string()),
+                    pa.array([None if o is None else json.dumps(shape(o) if shape else o, ensure_ascii=False, separators=(",", ":")) for o, _ in outputs], pa.string()),
                     pa.array([e for _, e in outputs], pa.string()),
                     pa.array([dict(zip(names, rule_checks(o))) for o, _ in outputs], pa.struct([(n, pa.bool_()) for n in names])),
                     pa.array([[{"category": c, "text": t} for c, t in items_of(o)] for o, _ in outputs], pa.list_(pa.struct([("category", pa.string()), ("text", pa.string())]))),

@@ -200,3 +200,23 @@ def evidence_levels(spark, folder):
     both = with_vectors(items, embed_texts(items, "item", "line"), "item", "line")
     sim = cosine(F.col("item_vector"), F.col("line_vector"))
     return both.select("score_no", "idx", scoring.evidence_level(sim, overlap(F.col("item"), F.col("line"))).alias("level"))
+
+
+def _dataset(spark, folder):
+    return table(spark, folder, "split_dataset").where("prompt is not null and output is not null").select(F.col("row_no").alias("id"), "prompt", "output")
+
+
+@R.add()
+def self_evaluation(spark, folder):
+    """Scores of every dataset row's output against itself, and whether it passes the clean filter."""
+    from tessera.operators.evaluation import self_evaluated
+
+    return self_evaluated(_dataset(spark, folder))
+
+
+@R.add()
+def evidence_audit(spark, folder):
+    """What supports the memory items of every dataset row."""
+    from tessera.operators.evaluation import audited
+
+    return audited(_dataset(spark, folder))
