@@ -93,14 +93,18 @@ def messages(prompt: str) -> list[str]:
     return []
 
 
-def shared(text: str, prompt: str) -> float:
-    """Share of a text's runs of four words that the prompt has, whatever case and punctuation."""
-    own, theirs = _TOKEN.findall(text.casefold()), _TOKEN.findall(prompt.casefold())
+def shared(text: str, source: str) -> float:
+    """Share of a text's words in runs of four or more that the source has, whatever case and punctuation."""
+    own, theirs = _TOKEN.findall(text.casefold()), _TOKEN.findall(source.casefold())
     if len(own) < 4:
         return 0.0
     known = set(zip(theirs, theirs[1:], theirs[2:], theirs[3:]))
-    runs = list(zip(own, own[1:], own[2:], own[3:]))
-    return sum(r in known for r in runs) / len(runs)
+    n = reach = 0
+    for k, run in enumerate(zip(own, own[1:], own[2:], own[3:])):
+        if run in known:
+            n += k + 4 - max(reach, k)
+            reach = k + 4
+    return n / len(own)
 
 
 def covered(text: str, prompt: str) -> tuple[float, int]:
@@ -163,7 +167,8 @@ def votes(prompt: str, response: str | None) -> tuple[int, ...]:
     opened = broken and answer.lstrip()[:1] in "{`"
     if bare and not opened:
         share, n = covered(bare, prompt)
-        loose_share = share if narrative and share < 0.5 else max(share, shared(bare, prompt))
+        source = prompt if output is None else "\n".join(chat)  # a new summary may well take up phrases of the old one
+        loose_share = max(share, shared(bare, source)) if not narrative or share >= 0.5 or _probed(bare, source) else share
         one = _quotes_one(bare, chat)
         told = sum(1 for m in chat if len(m) >= 8 and m in bare) if n or loose_share >= 0.5 else 0
         headed = output is None and (bare.startswith("## ") or bare.startswith("[20"))
@@ -202,6 +207,13 @@ def votes(prompt: str, response: str | None) -> tuple[int, ...]:
     return int(empty), int(cut), int(refusal), int(echo), int(other)
 
 
+def _probed(text: str, prompt: str) -> bool:
+    """Whether the prompt has any of four short runs of the text, whatever case: worth a full comparison."""
+    low, whole = text.casefold(), prompt.casefold()
+    size = 20 if low.isascii() else 10
+    return len(low) >= 5 * size and any(low[k * len(low) // 5 :][:size] in whole for k in (1, 2, 3, 4))
+
+
 def _quotes_one(text: str, chat: list[str]) -> bool:
     """Whether a text is no more than one message of the chat."""
     t = text.strip().strip("\"'“”„«»「」 ")

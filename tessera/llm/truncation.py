@@ -25,7 +25,7 @@ from tessera.session import Scratch
 MARK = regex.compile(r"(?:[ \t]*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.|truncated|cut|more|continued|gekürzt|tronqué|recortado|截断|已截断)\s*\]|\((?:…|\.\.\.|truncated|cut|more|continued)\)|\(continued|<(?:truncated|cut|more)>|\u200b|\ufffd))+[ \t\u200b]*$", regex.I)
 DECOR = regex.compile(r"(?:[ \t]*(?:\p{So}|[\u2600-\u27bf]|\ufe0f|\u200d|\p{Sk}|:\)|:\(|;\)|:D|\{ok\}|\"hm\"|\)|\]|\*+|_+|\"|'|”|’|」|』))+[ \t]*$")
 END = regex.compile(r"[.!?。！？؟।][\"'”’)\]」』*_]*$")
-TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*", regex.V1)
+TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}--\p{Han}]+(?:['’][\p{L}\p{M}--\p{Han}]+)*", regex.V1)
 UNIT_END = regex.compile(r"[\n.!?。！？…\"<{}\[\]]|\p{So}|:\)|\{ok\}")
 _DIGITS = regex.compile(r"\d+")
 FEW, SEEN = 0.02, 20
@@ -55,7 +55,7 @@ def look(text: str) -> dict:
     if not whole.strip("\u200b\ufeff \t\r\n"):
         return none
     found = MARK.search(whole)
-    bare = whole[: found.start()] if found else text if text.endswith("\n") else whole
+    bare = whole[: found.start()] if found else text
     marked = found is not None
     out = none | {"bare": len(bare), "bytes": len(bare.encode("utf-8", "replace")), "mark": marked}
     if whole.endswith("\ufffd"):
@@ -73,16 +73,15 @@ def look(text: str) -> dict:
     bare = bare.rstrip()
     if END.search(bare):
         return out
-    trimmed = DECOR.sub("", bare)
-    if trimmed != bare:
-        return out
+    if DECOR.sub("", bare) != bare:
+        return out | {"cut": None}  # complete but at a limit
     if regex.search(r"[,;:\-–—(\[/&、，：；（<]$", bare):
         return out | {"cut": True}
     line = bare[bare.rfind("\n") + 1 :]
     lead = regex.match(r"\s*(?:[-*•] |\d\d:\d\d <|\[\d{4}-|\d\d/\d\d |#)", line)
     last = [m for m in TOKEN.finditer(line)][-2:]
     if not last or last[-1].end() != len(line):
-        return out
+        return out | {"cut": None}
     signed = regex.match(r"\s*(?:--|[—–]|\p{L}+[,:：])\s*\p{Lu}\S*(?: \S+){0,2}$", line) is not None and END.search(bare[: max(0, bare.rfind("\n"))].rstrip()) is not None
     prose = lead is None and not signed and regex.search(r"[.!?。！？](?:\s|$|(?=\p{Han}))", bare) is not None
     return out | {"cut": None, "word": _word(last[-1][0]), "before": _word(last[0][0]) if len(last) == 2 else "", "prose": prose, "signed": signed}
@@ -141,15 +140,16 @@ def followed(df: DataFrame, text: str) -> DataFrame:
 def limits(seen: DataFrame) -> DataFrame:
     """(source, measure, at): lengths of a source, in characters (bare) or bytes, that stand out.
 
-    At least 4 different texts have the length, far more than the lengths within 20 let expect, and most of them show no end.
+    At least 4 different texts have the length, far more than the lengths
+    within 20 let expect, and by other evidence (column loose) most are cut.
     """
-    texts = seen.groupBy("source", "text_hash").agg(F.first("bare").alias("bare"), F.first("bytes").alias("bytes"), F.first(F.coalesce("cut", F.lit(True))).alias("loose"))
+    texts = seen.groupBy("source", "text_hash").agg(F.first("bare").alias("bare"), F.first("bytes").alias("bytes"), F.first("loose").alias("loose"))
     both = texts.select("source", F.lit("bare").alias("measure"), F.col("bare").alias("at"), "loose").union(texts.select("source", F.lit("bytes"), "bytes", "loose")).where("at >= 50")
     counts = both.groupBy("source", "measure", "at").agg(F.count("*").alias("n"), F.avg(F.col("loose").cast("int")).alias("loose"))
     around = Window.partitionBy("source", "measure").orderBy("at").rangeBetween(-20, 20)
     close = Window.partitionBy("source", "measure").orderBy("at").rangeBetween(-4, 4)
     rest = (F.sum("n").over(around) - F.sum("n").over(close)) / 32
-    return counts.withColumn("rest", rest).where("n >= 4 and n >= 5 * rest + 4 * sqrt(rest) and loose >= 0.6").select("source", "measure", "at")
+    return counts.withColumn("rest", rest).where("n >= 4 and n >= 5 * rest + 4 * sqrt(rest) and loose >= 0.5").select("source", "measure", "at")
 
 
 def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -175,13 +175,15 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     rate = F.when(n("n2") >= SEEN, n("e2") / n("n2")).when((n("n1") >= 4 * SEEN) | (n("n3") < SEEN), F.when(n("n1") > 0, n("e1") / n("n1"))).otherwise(n("e3") / n("n3"))
     told = told.select("before", "word", ((n("n1") == 0) & (n("longer") > 0)).alias("prefix"), F.coalesce(rate < FEW, F.lit(False)).alias("inner"))
+    # the evidence of each text for itself; a signature line has none
+    prose = F.col("prose") & ~F.col("mark") & F.col("word").isNotNull()
+    alone = ~F.col("signed") & (prose | F.coalesce("prefix", F.lit(False)) | F.coalesce("inner", F.lit(False)))
+    seen = scratch.keep(seen.join(told, ["before", "word"], "left").withColumn("loose", F.coalesce("cut", alone)), "evidence")
     spikes = limits(seen)
     char = spikes.where("measure = 'bare'").select(F.col("source").alias("s1"), F.col("at").alias("bare"), F.lit(True).alias("char_limit")).distinct()
     byte = spikes.where("measure = 'bytes'").select(F.col("source").alias("s2"), F.explode(F.expr("sequence(at - 3, at)")).alias("bytes"), F.lit(True).alias("byte_limit")).distinct()
     full = seen.join(char.withColumnRenamed("bare", "b1"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("bare") == F.col("b1")), "left")
     full = full.join(byte.withColumnRenamed("bytes", "b2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bytes") == F.col("b2")), "left")
-    full = full.join(told, ["before", "word"], "left")
     limit = F.coalesce("char_limit", F.lit(False)) | F.coalesce("byte_limit", F.lit(False))
-    bare_prose = F.col("prose") & ~F.col("mark")
-    cut = F.coalesce("cut", limit | (~F.col("signed") & (bare_prose | F.coalesce("prefix", F.lit(False)) | F.coalesce("inner", F.lit(False)))))
+    cut = F.col("loose") | (F.col("cut").isNull() & limit)
     return full.select("key", "source", cut.alias("cut"), limit.alias("at_limit"))
