@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +32,10 @@ def build_session(name: str = "tessera", cores: str = "*", **conf: str) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else a temporary one (tests, one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not folder and (own := spark.sparkContext.getCheckpointDir()):
+        folder = own
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/tessera-{os.getpid()}"
     return folder.rstrip("/")
@@ -49,7 +52,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def _remove_all(spark: SparkSession, app: str) -> None:
     for path in _folders.pop(app, []):
-        _remove(spark, path)
+        if path.startswith("file:"):  # the session may have ended
+            shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
+        else:
+            _remove(spark, path)
 
 
 class Scratch:
