@@ -26,26 +26,48 @@ MARK = regex.compile(r"(?:[ \t]*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.|truncated|cut|
 DECOR = regex.compile(r"(?:[ \t]*(?:\p{So}|[\u2600-\u27bf]|\ufe0f|\u200d|\p{Sk}|:\)|:\(|;\)|:D|\{ok\}|\"hm\"|\)|\]|\*+|_+|\"|'|”|’|」|』))+[ \t]*$")
 END = regex.compile(r"[.!?。！？؟।][\"'”’)\]」』*_]*$")
 TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}--\p{Han}]+(?:['’][\p{L}\p{M}--\p{Han}]+)*", regex.V1)
+_SPLIT = regex.compile(f"({TOKEN.pattern})", regex.V1)
 UNIT_END = regex.compile(r"[\n.!?。！？…\"<{}\[\]]|\p{So}|:\)|\{ok\}")
 _DIGITS = regex.compile(r"\d+")
 FEW, SEEN = 0.02, 20
+#: Words and pairs counted in memory before a task hands them on.
+HELD = 300_000
+
+
+class _Words(dict):
+    """Tokens as they are counted, digits as 0."""
+
+    def __missing__(self, token: str) -> str:
+        word = _DIGITS.sub("0", token) if any(c.isdigit() for c in token) else token
+        if len(self) < HELD:
+            self[token] = word
+        return word
+
+
+class _Gaps(dict):
+    """Whether a unit ends in what stands between two tokens."""
+
+    def __missing__(self, gap: str) -> bool:
+        end = UNIT_END.search(gap) is not None
+        if len(self) < HELD and len(gap) < 20:
+            self[gap] = end
+        return end
+
+
+_words, _gaps = _Words(), _Gaps({" ": False, "": False})
 
 
 def pieces(text: str) -> list[tuple[str, bool]]:
     """(token, digits as 0; whether a unit ends behind it) in order; the flag of the last is False."""
-    out, last = [], None
-    for m in TOKEN.finditer(text):
-        if last is not None:
-            gap = text[last.end() : m.start()]
-            out.append((_word(last[0]), gap != " " and gap != "" and UNIT_END.search(gap) is not None))
-        last = m
-    if last is not None:
-        out.append((_word(last[0]), False))
-    return out
+    parts = _SPLIT.split(text)
+    gaps = parts[2::2]
+    if gaps:
+        gaps[-1] = " "
+    return list(zip(map(_words.__getitem__, parts[1::2]), map(_gaps.__getitem__, gaps)))
 
 
 def _word(token: str) -> str:
-    return _DIGITS.sub("0", token) if any(c.isdigit() for c in token) else token
+    return _words[token]
 
 
 def look(text: str) -> dict:
@@ -54,7 +76,7 @@ def look(text: str) -> dict:
     whole = text.rstrip()
     if not whole.strip("\u200b\ufeff \t\r\n"):
         return none
-    found = MARK.search(whole)
+    found = MARK.search(whole, max(0, len(whole) - 80))  # marks are short
     bare = whole[: found.start()] if found else text
     marked = found is not None
     out = none | {"bare": len(bare), "bytes": len(bare.encode("utf-8", "replace")), "mark": marked}
@@ -64,16 +86,16 @@ def look(text: str) -> dict:
     if regex.match(r"\{\s*[\"}]|\[\s*[\[{\"]", start):
         return out | {"cut": _closing(start, 0) < 0 if start[0] == "{" else not start.rstrip().endswith("]")}
     if regex.match(r"<(?:p|div|ul|ol|h\d|html|body|article|section)\b", start, regex.I):
-        tail = DECOR.sub("", bare.rstrip())
+        tail = DECOR.sub("", bare.rstrip()[-200:])
         return out | {"cut": not (tail.endswith(">") and regex.search(r"</[A-Za-z][A-Za-z0-9]*>$|/>$", tail) is not None)}
     if text.startswith("## ") and text.count("\n## ") >= 1:  # a rendered prompt ends with its last line's end
         return out | {"cut": not text.endswith("\n")}
     if text.endswith("\n") and not marked:
         return out
     bare = bare.rstrip()
-    if END.search(bare):
+    if END.search(bare, max(0, len(bare) - 40)):
         return out
-    if DECOR.sub("", bare) != bare:
+    if DECOR.search(bare, max(0, len(bare) - 60)):
         return out | {"cut": None}  # complete but at a limit
     if regex.search(r"[,;:\-–—(\[/&、，：；（<]$", bare):
         return out | {"cut": True}
@@ -88,10 +110,6 @@ def look(text: str) -> dict:
 
 
 LOOKS = "key long, source string, cut boolean, bare int, bytes int, word string, before string, mark boolean, prose boolean, signed boolean, text_hash long"
-#: Words and pairs counted in memory before a task hands them on.
-HELD = 300_000
-
-
 def looks(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """LOOKS: the structural verdict of each text, null where only the corpus can tell."""
 
@@ -110,28 +128,32 @@ def followed(df: DataFrame, text: str) -> DataFrame:
     The last word of a text, which may be cut, isn't counted.
     """
 
-    def rows(counts: Counter, ends: Counter) -> pa.RecordBatch:
-        keys = list(counts)
+    def rows(counts: dict[tuple[str, str, bool], int]) -> pa.RecordBatch:
+        n: Counter = Counter()
+        ends: Counter = Counter()
+        for (before, word, end), k in counts.items():
+            for key in ((None, word), (before, word), (before, None)):
+                n[key] += k
+                if end:
+                    ends[key] += k
+        keys = list(n)
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["before", "word", "n", "ends"]
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["before", "word", "n", "ends"]
         )
 
     def run(batches):
-        counts: Counter = Counter()
-        ends: Counter = Counter()
+        counts: dict[tuple[str, str, bool], int] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 before = ""
                 for word, end in pieces(t)[:-1]:
-                    for k in ((None, word), (before, word), (before, None)):
-                        counts[k] += 1
-                        if end:
-                            ends[k] += 1
+                    key = (before, word, end)
+                    counts[key] = counts.get(key, 0) + 1
                     before = "" if end else word
                 if len(counts) > HELD:
-                    yield rows(counts, ends)
-                    counts.clear(), ends.clear()
-        yield rows(counts, ends)
+                    yield rows(counts)
+                    counts.clear()
+        yield rows(counts)
 
     got = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "before string, word string, n long, ends long")
     return got.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
