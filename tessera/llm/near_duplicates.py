@@ -15,6 +15,8 @@ so order does not count). Steps, each a distributed pass:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -275,13 +277,14 @@ def verified(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, jaccard double")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, template: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, template: bool = True, search: Callable[[DataFrame, DataFrame, Scratch], DataFrame] | None = None) -> DataFrame:
     """(key, group_no, copies_of) of all records in a group of two or more.
 
     group_no is the least key of the group, copies_of the least key with the
     same bag of words. percent: words in common of the larger bag. Nulls,
     blank texts and texts without words are in no group; rows that repeat a
-    key count once; further columns of df are not touched.
+    key count once; further columns of df are not touched. search: joins further
+    components; from the features of all records and (node, root) of the linked bags to such a table.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -297,6 +300,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, templ
         more = strays(hot, links, reps, scratch, percent)
         links = links.union(scratch.keep(verified(more, feats, percent), "strays"))
     roots = components(links.select("a", "b"), scratch)
+    if search:
+        roots = search(feats, roots, scratch)
     named = reps.join(roots, reps.key == roots.node, "left").where("root is not null or copies > 1")
     named = named.select("f1", "f2", F.coalesce("root", "key").alias("group_no"), F.col("key").alias("copies_of"))
     return signs.select("key", "f1", "f2").join(named, ["f1", "f2"]).select("key", "group_no", "copies_of").distinct()

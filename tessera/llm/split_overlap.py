@@ -6,25 +6,39 @@ not the texts). Training records are streamed through backward search: the
 words are read from right to left, and a match ends where it can't be extended
 to the left any more. Spans of matches are merged and counted. Words are told
 apart by near-duplicate group, so a match always lies in the record's own
-group, and each training record goes only to the shards that hold its group:
-the work is linear, unlike all training against all shards.
+group, and each training record goes only to the shards that hold its group.
+These spans say how much of a record is covered; they give no pair, as order
+does not count for the groups (TESTDATA.md).
+
+The groups are those of ``near_duplicates``, joined by the links that ``searched``
+adds: every record is looked up, word by word, in postings of all evaluation
+records and of those linked to one, until no more are reached. So no link that makes a
+pair is missed, whatever the bands of the samples do. That work grows with records times reached records.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.near_duplicates import near_duplicates
 from tessera.llm.words import Vocabulary, body_bytes, word_ids
+from tessera.operators.components import components
 from tessera.session import Scratch
 
 #: Distinct evaluation records in a shard, and of one group in a shard; a larger group has several.
 SHARD, BLOCK = 1000, 2000
 #: Words of a span that counts as covered text in the reports.
 SPAN = 5
+#: Different words of all reached records whose postings are broadcast at once (12 bytes each).
+POSTINGS = 4_000_000
+#: Near-same records have so many percent of the larger one's words in common.
+PERCENT = 85
 
 
 def split_name(label: Column) -> Column:
@@ -126,6 +140,110 @@ def _search(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["row_no", "group_no", "words", "matched", "covered", "longest", "occurrences"])
 
 
+class Postings:
+    """Bags of words by word; finds all bags that share percent of the larger one's words with a given bag."""
+
+    def __init__(self, keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, starts: np.ndarray):
+        order = np.argsort(sizes, kind="stable")  # bags are numbered by size, so those of like sizes are neighbours
+        length = np.diff(starts)[order]
+        place = np.arange(int(length.sum())) + np.repeat(starts[:-1][order] - np.cumsum(length) + length, length)
+        self.keys, self.roots, self.sizes = keys[order], roots[order], sizes[order]
+        self.starts, self.counts = np.append(0, np.cumsum(length)), counts[place].astype(np.int64)
+        self.vocabulary, self.symbols = np.unique(words[place], return_inverse=True)
+        postings = self.symbols * len(keys) + np.repeat(np.arange(len(keys)), length)
+        order = np.argsort(postings)
+        self.postings, self.times = postings[order], self.counts[order]
+        self.often = np.bincount(self.symbols, minlength=len(self.vocabulary))
+        self.own = np.zeros(len(self.vocabulary), np.int64)
+
+    def near(self, words: np.ndarray, counts: np.ndarray, root: int, percent: int) -> np.ndarray:
+        """Keys of the bags under other roots; exact. words are distinct.
+
+        A bag of n words and a near-same one differ in at most n - least of them. So of any words that
+        occur more often than that, the near-same bag has the rest; the rarest words are taken.
+        """
+        n = int(counts.sum())
+        differ = n - (percent * n + 99) // 100
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == words
+        if n - int(counts[known].sum()) > differ:
+            return self.keys[:0]
+        low, high = np.searchsorted(self.sizes, ((percent * n + 99) // 100, n * 100 // percent + 1))
+        order = np.argsort(np.where(known, self.often[at], 0), kind="stable")
+        upto = np.cumsum(counts[order])
+        order = order[: int(np.searchsorted(upto, differ + 1 + n // 16)) + 1]
+        least = int(counts[order].sum()) - differ
+        order = order[known[order]]
+        symbol = at[order] * len(self.keys)
+        first, last = np.searchsorted(self.postings, symbol + low), np.searchsorted(self.postings, symbol + high)
+        length = last - first
+        place = np.arange(int(length.sum())) + np.repeat(first - np.cumsum(length) + length, length)
+        bag_no = self.postings[place] - np.repeat(symbol + low, length)
+        common = np.bincount(bag_no, np.minimum(self.times[place], np.repeat(counts[order], length)), high - low)
+        maybe = low + np.nonzero((common >= least) & (self.roots[low:high] != root))[0]
+        if not len(maybe):
+            return self.keys[:0]
+        self.own[at[known]] = counts[known]
+        full = [np.minimum(self.own[self.symbols[a:b]], self.counts[a:b]).sum() for a, b in zip(self.starts[maybe], self.starts[maybe + 1])]
+        self.own[at[known]] = 0
+        return self.keys[maybe[np.array(full) * 100 >= percent * np.maximum(self.sizes[maybe], n)]]
+
+
+def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a seed and any bag under another root with percent of the words in common.
+
+    Seeds go out in blocks of about POSTINGS words; all bags are streamed past each block.
+    """
+    blocks = int(seeds.agg(F.sum(F.size("w"))).first()[0] or 0) // POSTINGS + 1
+    out = None
+    for block in range(blocks):
+        part = seeds.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "root", "n", "w", "c").toArrow()
+        if not part.num_rows:
+            continue
+        starts = np.append(0, np.cumsum(pa.compute.list_value_length(part.column("w")).to_numpy()))
+        flat = [pa.compute.list_flatten(part.column(x)).to_numpy() for x in "wc"]
+        sent = bags.sparkSession.sparkContext.broadcast((part.column("key").to_numpy(), part.column("root").to_numpy(), part.column("n").to_numpy().astype(np.int64), *flat, starts))
+
+        def run(batches, sent=sent):
+            index = Postings(*sent.value)
+            for batch in batches:
+                keys, roots = batch.column("key").to_numpy(), batch.column("root").to_numpy()
+                w, c = batch.column("w"), batch.column("c")
+                cuts = np.append(0, np.cumsum(pa.compute.list_value_length(w).to_numpy()))
+                w, c = w.flatten().to_numpy(), c.flatten().to_numpy().astype(np.int64)
+                near = [index.near(w[cuts[k] : cuts[k + 1]], c[cuts[k] : cuts[k + 1]], roots[k], percent) for k in range(len(keys))]
+                a = np.repeat(keys, [len(x) for x in near])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([keys[:0], *near]))], names=["a", "b"])
+
+        found = bags.select("key", "root", "w", "c").mapInArrow(run, "a long, b long")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def searched(feats: DataFrame, roots: DataFrame, labels: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """(node, root) after all links are added that reach an evaluation record, directly or over others.
+
+    First the evaluation records and those linked to one are compared with all, then those that became linked to one, until there are no more.
+    """
+    held = F.count_if(F.col("split_name") != "train") > 0
+    bags = feats.select("key", "f1", "f2").join(labels, "key", "left").groupBy("f1", "f2").agg(F.min("key").alias("key"), held.alias("held"))
+    bags = bags.join(roots, bags.key == roots.node, "left").select("key", "held", F.coalesce("root", "key").alias("root"))
+    bags = scratch.keep(feats.join(bags, "key").dropDuplicates(["key"]).select("key", "held", "root", "n", "w", "c"), "bags")
+    tried = None
+    for k in itertools.count():
+        now = bags.select("key", "held").join(roots, F.col("key") == F.col("node"), "left").select("key", "held", F.coalesce("root", "key").alias("now"))
+        seeds = now.join(now.where("held").select("now").distinct(), "now", "left_semi").select("key")
+        seeds = seeds if tried is None else seeds.join(tried, "key", "left_anti")
+        seeds = scratch.keep(bags.join(seeds, "key").select("key", "root", "n", "w", "c"), f"seeds{k}")
+        if seeds.isEmpty():
+            return roots
+        found = scratch.keep(_links(bags, seeds, percent), f"found{k}")
+        if found.isEmpty():
+            return roots
+        tried = seeds.select("key") if tried is None else tried.union(seeds.select("key"))
+        roots = components(found.union(roots.select("node", "root")), Scratch(feats.sparkSession, "searched"))
+
+
 HITS = "row_no long, group_no long, words long, matched long, covered long, longest long, occurrences long"
 
 
@@ -138,8 +256,8 @@ def overlaps(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame,
     take part in the grouping but are no members; nulls and blank texts are in no group.
     """
     scratch = Scratch(df.sparkSession, "overlap")
-    groups = near_duplicates(df, key, text)
     labels = df.select(F.col(key).cast("long").alias("key"), split_name(F.col(split)).alias("split_name")).where("split_name is not null").distinct()
+    groups = near_duplicates(df, key, text, PERCENT, search=lambda feats, roots, own: searched(feats, roots, labels, own))
     rows = scratch.keep(groups.join(labels, "key").select(F.col("key").alias("row_no"), "group_no", "copies_of", "split_name"), "rows")
     evals = F.when(F.col("split_name") != "train", F.col("copies_of"))
     both = rows.groupBy("group_no").agg(F.count_if(F.col("split_name") == "train").alias("n_train"), F.count_distinct(evals).alias("n_eval")).where("n_train > 0 and n_eval > 0")
@@ -160,9 +278,14 @@ def overlaps(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame,
 
 
 def pairs(members: DataFrame, hits: DataFrame) -> DataFrame:
-    """(row_a, row_b, train_no, eval_no, eval_split): each training record with a hit beside all evaluation records of its group."""
+    """(row_a, row_b, train_no, eval_no, eval_split, matched): each training record beside all evaluation records of its group.
+
+    matched: the most words of the training record, or of one with the same words, in matches; a record may be
+    linked over others and match none of the group's evaluation records.
+    """
     train = members.where("split_name = 'train'").select("group_no", "copies_of", F.col("row_no").alias("train_no"))
-    classes = members.where("split_name = 'train'").select("row_no", "copies_of").join(hits.where("matched > 0"), "row_no").select("group_no", "copies_of").distinct()
+    classes = members.where("split_name = 'train'").select("row_no", "copies_of", "group_no").join(hits.select("row_no", "group_no", "matched"), ["row_no", "group_no"])
+    classes = classes.groupBy("group_no", "copies_of").agg(F.max("matched").alias("matched"))
     held = members.where("split_name <> 'train'").select("group_no", F.col("row_no").alias("eval_no"), F.col("split_name").alias("eval_split"))
-    out = train.join(classes, ["group_no", "copies_of"]).join(held, "group_no").where("train_no <> eval_no")
-    return out.select(F.least("train_no", "eval_no").alias("row_a"), F.greatest("train_no", "eval_no").alias("row_b"), "train_no", "eval_no", "eval_split")
+    out = train.join(classes, ["group_no", "copies_of"], "left").join(held, "group_no").where("train_no <> eval_no")
+    return out.select(F.least("train_no", "eval_no").alias("row_a"), F.greatest("train_no", "eval_no").alias("row_b"), "train_no", "eval_no", "eval_split", F.coalesce("matched", F.lit(0)).alias("matched"))

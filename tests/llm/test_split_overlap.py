@@ -64,3 +64,47 @@ def test_pairs_equal_groups(spark, monkeypatch):
     assert hits.where("covered > words or matched < covered or longest > words").count() == 0
     empty = o.pairs(*o.overlaps(df.limit(0), "row_no", "prompt", "split"))
     assert empty.count() == 0
+
+
+def test_pairs_that_the_bands_miss(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    rows = []
+    for family in range(600):
+        base = [word() for _ in range(40)]
+        near = base[:34] + [word() for _ in range(6)]  # 85 % of the words in common, the least that counts
+        far = base[:33] + [word() for _ in range(7)]
+        rows += [(3 * family, _prompt(base), "train"), (3 * family + 1, _prompt(rng.sample(near, 40)), "test"), (3 * family + 2, _prompt(far), "dev")]
+    df = spark.createDataFrame(rows, "row_no long, prompt string, split string")
+    found = o.pairs(*o.overlaps(df, "row_no", "prompt", "split"))
+    assert {(r.row_a, r.row_b) for r in found.collect()} == {(3 * k, 3 * k + 1) for k in range(600)}
+
+
+def test_records_linked_over_others(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    rows = [(k, _prompt(words[3 * k : 3 * k + 20]), {0: "train", 10: "test"}.get(k)) for k in range(11)]  # the ends have no word in common
+    df = spark.createDataFrame(rows, "row_no long, prompt string, split string")
+    found = o.pairs(*o.overlaps(df, "row_no", "prompt", "split"))
+    assert [(r.row_a, r.row_b, r.matched) for r in found.collect()] == [(0, 10, 0)]
+
+
+def test_postings_equal_brute_force():
+    rng = np.random.default_rng(6)
+    bags = []
+    for _ in range(300):
+        base = rng.integers(0, 40, rng.integers(1, 60)) if not bags or rng.random() < 0.4 else np.repeat(*bags[rng.integers(len(bags))])
+        base = base.copy()
+        base[rng.random(len(base)) < 0.08] = 50 + rng.integers(0, 9)
+        bags.append(np.unique(base, return_counts=True))
+    held = bags[:150]
+    index = o.Postings(np.arange(150), np.arange(150), np.array([c.sum() for _, c in held]), np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held]), np.cumsum([0] + [len(w) for w, _ in held]))
+    found = 0
+    for w, c in bags:
+        want = []
+        for k, (v, d) in enumerate(held):
+            common = sum(min(m, d[v == x].sum()) for x, m in zip(w, c))
+            if common * 100 >= 85 * max(c.sum(), d.sum()):
+                want.append(k)
+        assert sorted(index.near(w, c, -1, 85).tolist()) == want
+        found += len(want)
+    assert found > 300
