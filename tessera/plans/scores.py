@@ -183,7 +183,7 @@ def ecdf(spark, folder):
 
 @R.add("select q.vec_id as query, v.vec_id as found, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as sim from embeddings q join embeddings v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 50 = 0 and list_cosine_similarity(q.embedding::double[], v.embedding::double[]) > 0.3")
 def cosine_pairs(spark, folder):
-    """Threshold similarity join of the stated query set, every vector with an id divisible by 50, with all of its label."""
+    """Threshold similarity join of the stated query set, every vector with an id divisible by 50, with all of its label; ``semantic_join`` has no such set."""
     rows = table(spark, folder, "embeddings")
     queries = rows.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     found = rows.select("label", F.col("vec_id").alias("found"), F.col("embedding").alias("v"))
@@ -191,6 +191,16 @@ def cosine_pairs(spark, folder):
     return queries.join(found, "label").where("query <> found").withColumn("sim", sim).where("sim > 0.3").select("query", "found", F.round("sim", 6).alias("sim"))
 
 
+@R.add("select a.vec_id as query, b.vec_id as found, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on a.label = b.label where a.vec_id % 2 = 0 and b.vec_id % 2 <> 0 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > 0.3")
+def semantic_join(spark, folder):
+    """Threshold similarity join within a label of the two sides of the survey, all even ids with all odd ones."""
+    rows = table(spark, folder, "embeddings")
+    left = rows.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    right = rows.where("vec_id % 2 <> 0").select("label", F.col("vec_id").alias("found"), F.col("embedding").alias("v"))
+    sim = cosine(F.col("q"), F.col("v"))
+    return left.join(right, "label").withColumn("sim", sim).where("sim > 0.3").select("query", "found", F.round("sim", 6).alias("sim"))
+
+
 @R.add()
 def evidence_levels(spark, folder):
     """Evidence level of each memory item against its matched text, by embedding and word overlap."""

@@ -59,3 +59,12 @@ def test_cosine_and_embedding(spark):
     df = spark.createDataFrame([("a b", "a b"), ("c", None), ("", "c")], "x string, y string")
     got = {r.text: r.vector for r in embed_texts(df, "x", "y").collect()}
     assert set(got) == {"a b", "c"} and abs(sum(v * v for v in got["a b"]) - 1) < 1e-6
+
+
+def test_semantic_join_takes_every_left_row(spark, tmp_path):
+    from tessera.queries import queries
+
+    rows = [(k, [1.0, k % 7 / 10, -k % 5 / 10], k % 3) for k in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query, r.found) for r in queries()["semantic_join"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in range(0, 90, 2) for b in range(1, 90, 2) if a % 3 == b % 3}
