@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def shingles(text: Column, window: int = 256, stride: int = 192) -> Column:
 def joined_url(base: Column, path: str) -> Column:
     """base without trailing slashes, then the path."""
     return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/" + path.lstrip("/")))
+
+
+def word_count(texts: list[str]) -> list[int]:
+    """Tokens of each text where no model's tokenizer is given: words, Chinese characters and other signs."""
+    return [len(re.findall(r"[㐀-鿿]|[^\W㐀-鿿]+|[^\w\s]", t)) for t in texts]
+
+
+def chat_text(prompt: str, output: str) -> str:
+    """A pair as the chat template of training lays it out."""
+    return f"<|im_start|>user\n{prompt}<|im_end|>\n<|im_start|>assistant\n{output}<|im_end|>\n"

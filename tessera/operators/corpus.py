@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import shingles
+from tessera.functions.text import chat_text, shingles, word_count
 from tessera.operators.components import components
 from tessera.session import Scratch
 
@@ -72,14 +75,38 @@ def before(df: DataFrame, groups: list[str], order: str, amount: str) -> DataFra
     return marked.withColumn("_within", within).join(sums.select(*groups, "_range", offset), [*groups, "_range"]).withColumn("before", F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
 
 
-def stratified_split(rows: DataFrame, key: str, cluster: str, stratum_: str, test: float, dev: float, seed: int = 42) -> DataFrame:
+def forced_rows(df: DataFrame, key: str, text: str, forced: DataFrame, forced_text: str, order: str) -> DataFrame:
+    """(key, forced_pos): the row of each forced text, of equal texts the last; forced_pos is its least order in the file.
+
+    Raises ValueError when a forced text is in no row, as the split would not be the one asked for.
+    """
+    last = df.where(F.col(text).isNotNull()).groupBy(F.sha1(text).alias("_hash")).agg(F.max(key).alias(key))
+    wanted = forced.groupBy(F.sha1(forced_text).alias("_hash")).agg(F.min(order).alias("forced_pos"))
+    found = Scratch(df.sparkSession, "forced").keep(wanted.join(last, "_hash", "left"), "found")
+    missing = [r[0] or "null" for r in found.where(F.col(key).isNull()).orderBy("forced_pos").select("_hash").limit(3).collect()]
+    if missing:
+        raise ValueError("forced rows are not in the data: " + ", ".join(h[:12] for h in missing))
+    return found.select(key, "forced_pos")
+
+
+def stratified_split(rows: DataFrame, key: str, cluster: str, stratum_: str, test: float, dev: float, seed: int = 42, forced: DataFrame | None = None) -> DataFrame:
     """(cluster, stratum, size, split): clusters are whole; in each stratum test is filled first, then dev.
 
     A cluster is taken while the rows before it are fewer than the split's due, so sizes overshoot by less than a cluster.
+    forced: rows by key that must be in test. Their clusters go to test whole and count for its share of
+    all rows; the rest is dealt as (test rows - forced rows) / remaining rows.
     """
     sizes = rows.groupBy(cluster).agg(F.count("*").alias("size"))
     main = dominant(rows, cluster, stratum_, key)
-    each = sizes.join(main, cluster).withColumn("o", F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string"))))
+    each = sizes.join(main, cluster)
+    taken = None
+    if forced is not None:
+        hit = rows.join(forced.select(key), key, "left_semi").select(cluster).distinct()
+        taken, each = each.join(hit, cluster, "left_semi"), each.join(hit, cluster, "left_anti")
+        n_taken, n_free = ((d.agg(F.sum("size")).first()[0] or 0) for d in (taken, each))
+        n = n_taken + n_free
+        test, dev = max(n * test - n_taken, 0) / max(n_free, 1), n * dev / max(n_free, 1)
+    each = each.withColumn("o", F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string"))))
     due = each.groupBy(stratum_).agg(F.sum("size").alias("n"))  # a row for each stratum
     placed = before(each, [stratum_], "o", "size").join(F.broadcast(due), stratum_)
     in_test = F.col("before") < F.col("n") * test
@@ -87,7 +114,32 @@ def stratified_split(rows: DataFrame, key: str, cluster: str, stratum_: str, tes
     test_rows = placed.where("in_test").groupBy(stratum_).agg(F.sum("size").alias("test_rows"))
     placed = placed.join(F.broadcast(test_rows), stratum_, "left")
     in_dev = (F.col("before") - F.coalesce("test_rows", F.lit(0))) < F.col("n") * dev
-    return placed.select(cluster, stratum_, "size", F.when(F.col("in_test"), "test").when(in_dev, "dev").otherwise("train").alias("split"))
+    out = placed.select(cluster, stratum_, "size", F.when(F.col("in_test"), "test").when(in_dev, "dev").otherwise("train").alias("split"))
+    return out if taken is None else out.union(taken.select(cluster, stratum_, "size", F.lit("test")))
+
+
+def in_test_order(rows: DataFrame, splits: DataFrame, key: str, cluster: str, forced: DataFrame) -> DataFrame:
+    """(key, cluster, forced_pos) of the test rows: forced ones first, as in their file, the rest by cluster, whose least key is its rank."""
+    test = rows.select(key, cluster).join(splits.where("split = 'test'").select(cluster), cluster, "left_semi")
+    return test.join(forced, key, "left").select(key, cluster, "forced_pos").orderBy(F.asc_nulls_last("forced_pos"), cluster, key)
+
+
+def token_lengths(df: DataFrame, key: str, prompt: str, output: str, count: Callable[[list[str]], list[int]] = word_count, render: Callable[[str, str], str] = chat_text) -> DataFrame:
+    """(key, prompt_tokens, output_tokens, total_tokens); rows with a null text are left out.
+
+    count gives the tokens of each text, without special ones. The total has the overhead of the chat
+    template on top, measured once on a rendered pair of single letters.
+    """
+    whole, x, y = count([render("x", "y"), "x", "y"])
+    overhead = whole - x - y
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf.key, "prompt_tokens": count(pdf.prompt.tolist()), "output_tokens": count(pdf.output.tolist())})
+
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(prompt).alias("prompt"), F.col(output).alias("output")).where("key is not null and prompt is not null and output is not null")
+    found = texts.mapInPandas(run, "key long, prompt_tokens long, output_tokens long")
+    return found.select(F.col("key").alias(key), "prompt_tokens", "output_tokens", (F.col("prompt_tokens") + F.col("output_tokens") + overhead).alias("total_tokens"))
 
 
 def overlapping(splits: DataFrame, key: str, split: str) -> DataFrame:

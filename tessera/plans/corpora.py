@@ -131,6 +131,15 @@ def length_filter(spark, folder):
     return rows.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(fits).alias("kept"), F.sum(F.when(fits, F.col("n"))).cast("long").alias("chars"))
 
 
+@R.add()
+def token_length_describe(spark, folder):
+    """Lengths of prompts, outputs and whole pairs in tokens, the template's included."""
+    lengths = corpus.token_lengths(table(spark, folder, "split_dataset"), "row_no", "prompt", "output")
+    lengths = Scratch(spark, "lengths").keep(lengths, "lengths")
+    parts = [corpus.nearest_index_percentiles(lengths, f"{p}_tokens", _SHARES).withColumn("part", F.lit(p)) for p in ("prompt", "output", "total")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @R.add("select doc_id from documents where contains(text, 'rolling_summary') order by doc_id limit 1")
 def first_match(spark, folder):
     return table(spark, folder, "documents").where(F.col("text").contains("rolling_summary")).select("doc_id").orderBy("doc_id").limit(1)

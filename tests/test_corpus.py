@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import compare, corpus
@@ -43,3 +44,31 @@ def test_series(spark):
     assert wins == {("a", "b"): (2, 1), ("b", "a"): (2, 0)}
     assert {(r.s, r.bin): r.n for r in compare.delta_histogram(df, "s", "a", "x").collect()} == {("b", 10): 1}
     assert [(r.x, r.share) for r in compare.ecdf(df.where("s = 'b'"), "s", "x").orderBy("x").collect()] == [(0.5, 2 / 3), (1.0, 1.0)]
+
+
+def test_forced_rows_and_their_clusters_are_in_test(spark):
+    rows = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 700).alias("c"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("s"), F.concat(F.lit("p"), F.col("id") % 2900).alias("t"))
+    file = spark.createDataFrame([(0, "p7"), (1, "p5"), (2, "p2000"), (3, "p7")], "pos int, prompt string")
+    forced = corpus.forced_rows(rows, "k", "t", file, "prompt", "pos")
+    assert {(r.k, r.forced_pos) for r in forced.collect()} == {(2907, 0), (2905, 1), (2000, 2)}  # the last row of a text
+    got = corpus.stratified_split(rows, "k", "c", "s", 0.2, 0.1, forced=forced)
+    split = {r.c: r.split for r in got.collect()}
+    assert len(split) == 700 == got.count() and {split[2907 % 700], split[2905 % 700], split[2000 % 700]} == {"test"}
+    sizes = {r.split: r["sum(size)"] for r in got.groupBy("split").sum("size").collect()}
+    assert sum(sizes.values()) == 3000 and abs(sizes["test"] - 600) < 20 and abs(sizes["dev"] - 300) < 20
+    order = corpus.in_test_order(rows, got, "k", "c", forced).collect()
+    assert [r.k for r in order[:3]] == [2907, 2905, 2000] and len(order) == sizes["test"]
+    assert [(r.c, r.k) for r in order[3:]] == sorted((r.c, r.k) for r in order[3:])
+    many = rows.where("k < 1500").select("k")  # more forced rows than the share of test: none is dealt beside them
+    assert {r.split for r in corpus.stratified_split(rows.where("c < 350 or k < 1500"), "k", "k", "s", 0.2, 0.1, forced=many).where("k >= 1500").collect()} == {"train", "dev"}
+    for bad in ("nowhere", None):
+        with pytest.raises(ValueError):
+            corpus.forced_rows(rows, "k", "t", spark.createDataFrame([(0, bad)], "pos int, prompt string"), "prompt", "pos")
+
+
+def test_token_lengths(spark):
+    df = spark.createDataFrame([(1, "one two, three", "四五"), (2, None, "x"), (3, "", ""), (4, "x", None)], "k long, p string, o string")
+    got = {r.k: tuple(r)[1:] for r in corpus.token_lengths(df, "k", "p", "o", render=lambda p, o: f"<{p}|{o}>").collect()}
+    assert got == {1: (4, 2, 9), 3: (0, 0, 3)}
+    letters = corpus.token_lengths(df, "k", "p", "o", count=lambda texts: [len(t) for t in texts], render=lambda p, o: f"{p}{o}")
+    assert {r.k: r.total_tokens for r in letters.collect()} == {1: 16, 3: 0}
