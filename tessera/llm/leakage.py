@@ -108,8 +108,8 @@ def longest(item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> tup
     runs.sort()
     best = (0, 0, 0)
     for a, (i0, j0, n0) in enumerate(runs):
-        if n0 < 2:
-            continue
+        if (len(item) - i0) * RATE // (RATE - 1) <= best[0]:
+            continue  # nothing longer begins here
         # fewest errors from the begin of run a to the end of run b
         errors: dict[int, int] = {a: 0}
         for b in range(a, len(runs)):

@@ -43,6 +43,18 @@ def test_equals_naive_alignment():
     assert wrong <= 1  # ends that are themselves errors may be counted either way
 
 
+def test_errors_behind_the_first_word():
+    rng = random.Random(9)
+    for least, zh, wrong in ((k.WORDS, False, (1,)), (k.HAN, True, (1, 3)), (k.HAN, True, (1, 11))):
+        item = (list if zh else str.split)(_item(rng, 40, zh))
+        part = item[10 : 10 + least]
+        for at in wrong:
+            part[at] = "乙" if zh else "zzzz"
+        doc = _item(rng, 12).split() + part + _item(rng, 12).split()
+        assert _naive(item, doc, least) and k.Items([(1, ("" if zh else " ").join(item))]).find(k._ids(doc, {})), wrong
+        assert not k.Items([(1, ("" if zh else " ").join(item))]).find(k._ids(doc[:12] + part[:-1] + doc[12 + least :], {}))
+
+
 def test_surface_changes():
     rng = random.Random(1)
     text = "Consider Perra of Tamere, who keeps 2980 luard jars beside the dusty winter coat and writes to Jolox whenever."
