@@ -52,6 +52,8 @@ QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*
 MARK = regex.compile(r"(?:…|\.\.\.|\[(?:cut|truncated|\.\.\.|…|more|continued)\]|\((?:cut|truncated|continued)\)?|�)\s*$", regex.I)
 ENDED = regex.compile(r"[.!?。！？؟][\"'”’»」』)\]*_~\s]*(?:\p{So}|\p{Sk}|️|‍|:\)|\s)*$|[\"”’»」』](?:\p{So}|️|\s)*$|(?:\p{So}️?|:\))\s*$")
 INVISIBLE = regex.compile(r"[\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]+")
+#: So many visible characters that neither fence nor empty value is all of a text.
+PLENTY = regex.compile(r"(?:[\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]*+[^\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]){160}")
 FENCE = regex.compile(r"^\s*(?:```|~~~)[A-Za-z0-9_+-]*[ \t]*\n?|\n?[ \t]*(?:```|~~~)\s*$")
 CUT_BY_LENGTH = regex.compile(r"\"(?:finish_reason|finishReason|stop_reason)\"\s*:\s*\"(?:length|max_tokens)\"", regex.I)
 _TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{N}--\p{Han}]+", regex.V1)
@@ -130,9 +132,9 @@ def votes(prompt: str, response: str | None) -> tuple[int, ...]:
     if wire is None and text.lstrip()[:1] == "{" and jsonx._closing(text, text.index("{")) < 0:
         return 0, 1 | 2 | (text.rstrip()[-1:] != "}") << 2 | (CUT_BY_LENGTH.search(text) is not None) << 3, 0, 0, 0
     answer = jsonx.answer(wire)
-    if answer is None or len(answer) < 64 or not re.search(r"\w", answer):
-        plain = FENCE.sub("", FENCE.sub("", (answer or "").strip()))
-        core = INVISIBLE.sub(" ", plain).strip(" `~")
+    plenty = answer is not None and PLENTY.match(answer) is not None and re.search(r"\w", answer) is not None
+    core = "" if plenty else FENCE.sub("", FENCE.sub("", INVISIBLE.sub(" ", answer or "").strip())).strip(" `~")
+    if not plenty and (len(core) < 64 or not re.search(r"\w", core)):
         value: object = core
         try:
             value = json.loads(core) if core else ""

@@ -59,3 +59,11 @@ def test_language_and_odd_pairs(spark):
     got = d.labelled(df, "id", "prompt", "response").collect()
     assert sorted(r.key or 0 for r in got) == [0, 3, 3, 4, 5]
     assert d.labelled(df.limit(0), "id", "prompt", "response").count() == 0
+
+
+def test_padded_empty_answers(spark):
+    padded = ["```json\n{}\n```" + " " * 80, "\n" * 70 + "null", "\u3164" * 64, "{" + " " * 64 + "}", "\u200b" * 70 + "```json\nnull\n```", "```\n" + "\n" * 70 + "```"]
+    rows = [_wire(_output()) for _ in range(100)] + [_wire(x) for x in padded for _ in range(3)]
+    df = spark.createDataFrame([(k, PROMPT, r) for k, r in enumerate(rows)], "id long, prompt string, response string")
+    got = {r.key: [x.defect for x in r.defects] for r in d.labelled(df, "id", "prompt", "response").collect()}
+    assert all(got[k] == ([] if k < 100 else ["empty"]) for k in got), got
