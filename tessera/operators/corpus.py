@@ -32,7 +32,7 @@ def shingle_pairs(table: DataFrame, key: str, most: int = 100, least_shared: int
     """(a, b, shared): keys that share at least so many shingles of 2 to most texts.
 
     A shingle of more texts is template text by definition, so a shingle gives
-    most * (most - 1) / 2 pairs at the very most.
+    most * (most - 1) / 2 pairs at the very most. So more than most copies of one text have no pair.
     """
     rare = shingle_frequency(table).where(F.col("df").between(2, most)).select("shingle")
     kept = table.join(rare, "shingle")
@@ -40,11 +40,19 @@ def shingle_pairs(table: DataFrame, key: str, most: int = 100, least_shared: int
     return a.join(b, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
 
 
-def clusters(df: DataFrame, key: str, text: str, most: int = 100, least_shared: int = 2) -> DataFrame:
-    """(key, cluster) of every row: the least key of its cluster."""
+def clusters(df: DataFrame, key: str, text: str, most: int = 100, least_shared: int = 2, copies: bool = False) -> DataFrame:
+    """(key, cluster) of every row: the least key of its cluster.
+
+    Texts whose shingles are in more than most texts each, such as more than most copies of one, and texts
+    without enough shingles are clusters of their own, as in the reference. copies links equal texts as well, however many and short.
+    """
     scratch = Scratch(df.sparkSession, "clusters")
-    pairs = shingle_pairs(shingle_table(df, key, text), key, most, least_shared)
-    roots = components(pairs.select("a", "b"), scratch).select(F.col("node").alias(key), F.col("root").alias("cluster"))
+    links = shingle_pairs(shingle_table(df, key, text), key, most, least_shared).select("a", "b")
+    if copies:
+        hashed = df.where(F.col(text).isNotNull()).select(F.col(key).alias("b"), F.sha2(text, 256).alias("hash"))
+        least = hashed.groupBy("hash").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+        links = links.union(hashed.join(least, "hash").where("a < b").select("a", "b"))
+    roots = components(links, scratch).select(F.col("node").alias(key), F.col("root").alias("cluster"))
     return df.select(key).join(roots, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 

@@ -101,7 +101,7 @@ def split_crosstab(spark, folder):
 
 @R.add(f"with recursive {_SPLIT}, joined as (select o.split, d.text from t join o on o.cluster = t.cluster join documents d on d.doc_id = t.doc_id) select count(*) as n from (select sha256(text) from joined group by 1 having count(distinct split) > 1)")
 def split_shared_texts(spark, folder):
-    """Texts in more than one split; short copies without a shingle may be."""
+    """Texts in more than one split; short copies without a shingle and more than 100 copies of a text may be."""
     rows, splits = _split(spark, folder)
     texts = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
     joined = rows.join(splits.select("cluster", "split"), "cluster").join(texts, "doc_id")

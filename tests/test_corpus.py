@@ -72,3 +72,11 @@ def test_token_lengths(spark):
     assert got == {1: (4, 2, 9), 3: (0, 0, 3)}
     letters = corpus.token_lengths(df, "k", "p", "o", count=lambda texts: [len(t) for t in texts], render=lambda p, o: f"{p}{o}")
     assert {r.k: r.total_tokens for r in letters.collect()} == {1: 16, 3: 0}
+
+
+def test_many_copies_are_one_cluster(spark):
+    long, short = " ".join(str(n) for n in range(300)), "a short text"
+    rows = [(k, long) for k in range(120)] + [(200 + k, short) for k in range(3)] + [(300, None), (301, None), (302, "alone")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: r.cluster for r in corpus.clusters(df, "k", "t", copies=True).collect()}
+    assert got == {k: 0 if k < 120 else 200 if k < 300 else k for k, _ in rows}
