@@ -177,11 +177,16 @@ def votes(prompt: str, response: str | None) -> tuple[int, ...]:
         echo = (loose_share >= 0.8 and not one) | (loose_share >= 0.65 and not one) << 1 | (told >= 2 and loose_share >= 0.5) << 2 | (loose_share >= 0.6 and (not narrative or headed) and not one) << 3
         is_echo = loose_share >= 0.65
 
+    # the prompt's own text is no refusal, and cut only where the prompt's line goes on
+    low = bare.casefold()
+    lines = sorted({x for x in (y.strip().casefold() for y in (*chat, *prompt.split("\n"))) if len(x) >= 4}, key=len, reverse=True) if is_echo else []
+    complete = any(low.rstrip(" .\"'”’»」』").endswith(x[-12:].rstrip(" .\"'”’»」』")) for x in lines)
+
     # truncated
-    if broken and not is_echo:
+    if broken and not complete:
         cut = 1 | 2 | (answer.rstrip()[-1:] != "}") << 2 | (CUT_BY_LENGTH.search(text) is not None) << 3
-    elif bare and not is_echo:
-        stops = ENDED.search(bare[-16:]) is None or MARK.search(bare[-20:]) is not None
+    elif bare:
+        stops = not complete and (ENDED.search(bare[-16:]) is None or MARK.search(bare[-20:]) is not None)
         unclosed = answer.lstrip()[:3] == "```" and answer.count("```") % 2 == 1
         cut = (stops or unclosed) | stops << 1 | unclosed << 2 | (stops and CUT_BY_LENGTH.search(text) is not None) << 3
     else:
@@ -189,17 +194,20 @@ def votes(prompt: str, response: str | None) -> tuple[int, ...]:
 
     # refusal
     refusal = 0
-    if bare and not is_echo and not broken:
+    own_words = low if is_echo else unquoted
+    for x in lines:
+        own_words = own_words.replace(x, " ")
+    if own_words.strip() and not broken:
         memory = output.get("memory_snapshot") if output else None
         lone = output is None or len(output) <= 2 or memory is None or (isinstance(memory, dict) and not any(memory.values()))
-        if narrative:
+        if narrative if not is_echo else NARRATIVE.search(own_words) is not None:
             refusal = (lone and len(bare) < 400) << 3
-        else:
-            refusal = (DECLINE.search(unquoted) is not None) | 2 | (FIRST.search(unquoted) is not None) << 2 | (lone and len(bare) < 400) << 3 | (output is None) << 4
+        elif not is_echo or DECLINE.search(own_words):
+            refusal = (DECLINE.search(own_words) is not None) | 2 | (FIRST.search(own_words) is not None) << 2 | (lone and len(bare) < 400) << 3 | (output is None) << 4
 
     # other language
     other = 0
-    if summary and chat and not is_echo:
+    if summary and chat:
         own, sure = language(unquoted)
         theirs, certain = language(" ".join(chat))
         if own and theirs and own != theirs:

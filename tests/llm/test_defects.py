@@ -67,3 +67,15 @@ def test_padded_empty_answers(spark):
     df = spark.createDataFrame([(k, PROMPT, r) for k, r in enumerate(rows)], "id long, prompt string, response string")
     got = {r.key: [x.defect for x in r.defects] for r in d.labelled(df, "id", "prompt", "response").collect()}
     assert all(got[k] == ([] if k < 100 else ["empty"]) for k in got), got
+
+
+def test_functions_vote_on_echoes():
+    cut, refusal, echo = (d.DEFECTS.index(x) for x in ("truncated", "refusal", "echo"))
+    lines = "\n".join(CHAT)
+    whole, short = d.votes(PROMPT, _wire(lines)), d.votes(PROMPT, _wire(lines[:-13]))
+    assert whole[echo] and not whole[cut] and not whole[refusal]
+    assert short[echo] and short[cut] & 3 == 3
+    both = d.votes(PROMPT, _wire("I cannot help with this. " + lines))
+    assert both[echo] and both[refusal] & 7 == 7
+    unpunctuated = d.votes(PROMPT, _wire("\n".join(CHAT[:3])))
+    assert unpunctuated[echo] and not unpunctuated[cut]
