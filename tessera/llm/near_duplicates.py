@@ -15,8 +15,6 @@ so order does not count). Steps, each a distributed pass:
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,8 +51,8 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), kind))
 
 
-def features(df: DataFrame, key: str, text: str, template: bool = True) -> DataFrame:
-    """key, f1, f2 (fingerprint of the bag), n (words), w (sorted word ids), c (their counts).
+def features(df: DataFrame, key: str, text: str, template: bool = True, order: bool = False) -> DataFrame:
+    """key, f1, f2 (fingerprint of the bag), n (words), w (sorted word ids), c (their counts); on request t, 32 bits of the words in text order.
 
     Null keys, null texts and texts without a word give no row.
     """
@@ -62,21 +60,23 @@ def features(df: DataFrame, key: str, text: str, template: bool = True) -> DataF
 
     def run(batches):
         for batch in batches:
-            keys, f1, f2, n, w, c = [], [], [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = word_ids(body_bytes(t) if template else t, vocabulary)
+            keys, f1, f2, n, w, c, t = [], [], [], [], [], [], []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                ids = word_ids(body_bytes(x) if template else x, vocabulary)
                 if not ids:
                     continue
                 values, counts = bag(ids)
                 print_ = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes() + counts.tobytes()), np.int64)
                 keys.append(k), f1.append(print_[0]), f2.append(print_[1]), n.append(len(ids)), w.append(values), c.append(counts)
+                if order:
+                    t.append(np.array(ids, np.uint64).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int32()), _lists(w, pa.int64()), _lists(c, pa.int32())],
-                names=["key", "f1", "f2", "n", "w", "c"],
+                [pa.array(keys, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int32()), _lists(w, pa.int64()), _lists(c, pa.int32()), *([_lists(t, pa.int32())] if order else [])],
+                names=["key", "f1", "f2", "n", "w", "c", *(["t"] if order else [])],
             )
 
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").mapInArrow(
-        run, "key long, f1 long, f2 long, n int, w array<long>, c array<int>"
+        run, "key long, f1 long, f2 long, n int, w array<long>, c array<int>" + (", t array<int>" if order else "")
     )
 
 
@@ -277,14 +277,13 @@ def verified(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, jaccard double")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, template: bool = True, search: Callable[[DataFrame, DataFrame, Scratch], DataFrame] | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, template: bool = True) -> DataFrame:
     """(key, group_no, copies_of) of all records in a group of two or more.
 
     group_no is the least key of the group, copies_of the least key with the
     same bag of words. percent: words in common of the larger bag. Nulls,
     blank texts and texts without words are in no group; rows that repeat a
-    key count once; further columns of df are not touched. search: joins further
-    components; from the features of all records and (node, root) of the linked bags to such a table.
+    key count once; further columns of df are not touched.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -300,8 +299,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, templ
         more = strays(hot, links, reps, scratch, percent)
         links = links.union(scratch.keep(verified(more, feats, percent), "strays"))
     roots = components(links.select("a", "b"), scratch)
-    if search:
-        roots = search(feats, roots, scratch)
     named = reps.join(roots, reps.key == roots.node, "left").where("root is not null or copies > 1")
     named = named.select("f1", "f2", F.coalesce("root", "key").alias("group_no"), F.col("key").alias("copies_of"))
     return signs.select("key", "f1", "f2").join(named, ["f1", "f2"]).select("key", "group_no", "copies_of").distinct()

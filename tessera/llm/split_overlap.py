@@ -1,19 +1,15 @@
 """Records of evaluation splits that also occur, exactly or almost, in training.
 
-Evaluation records are laid down in shards; each shard holds a full-text index
-of its words (a Burrows-Wheeler transform whose rank structure alone is kept,
-not the texts). Training records are streamed through backward search: the
-words are read from right to left, and a match ends where it can't be extended
-to the left any more. Spans of matches are merged and counted. Words are told
-apart by near-duplicate group, so a match always lies in the record's own
-group, and each training record goes only to the shards that hold its group.
-These spans say how much of a record is covered; they give no pair, as order
-does not count for the groups (TESTDATA.md).
-
-The groups are those of ``near_duplicates``, joined by the links that ``searched``
-adds: every record is looked up, word by word, in postings of all evaluation
-records and of those linked to one, until no more are reached. So no link that makes a
-pair is missed, whatever the bands of the samples do. That work grows with records times reached records.
+1. ``indexed``: the distinct evaluation records are laid down in shards; each shard becomes a full-text index
+   of their words in text order (a Burrows-Wheeler transform whose rank structure and document numbers are kept,
+   not the texts). All records are streamed through backward search: words are read from right to left, and a
+   match ends where it can't be extended any more. The spans a record shares with an evaluation record are
+   merged and counted; those that cover enough of it are candidates, and the words in common, counted
+   with repeats, decide.
+2. ``searched``, the exact check that follows: order does not count for TESTDATA's groups and relation carries
+   over, so records whose spans are too short, or that are linked over others only, are looked up word by
+   word in all evaluation records and all records linked to one, under other groups than their own, until no more are reached.
+   That work grows with records times reached records.
 """
 
 from __future__ import annotations
@@ -21,22 +17,20 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.near_duplicates import near_duplicates
-from tessera.llm.words import Vocabulary, body_bytes, word_ids
+from tessera.llm.near_duplicates import features
 from tessera.operators.components import components
 from tessera.session import Scratch
 
-#: Distinct evaluation records in a shard, and of one group in a shard; a larger group has several.
-SHARD, BLOCK = 1000, 2000
-#: Words of a span that counts as covered text in the reports.
+#: Words of a span that counts as covered text.
 SPAN = 5
-#: Different words of all reached records whose postings are broadcast at once (12 bytes each).
-POSTINGS = 4_000_000
+#: A candidate covers one word in so many of a record; a span's rows, and a record's candidates, that are looked at. The exact check does the rest.
+SHARE, ROWS, TOP = 4, 64, 8
+#: Words of an index (12 bytes each), or different words whose postings go out at once.
+SHARD = POSTINGS = 4_000_000
 #: Near-same records have so many percent of the larger one's words in common.
 PERCENT = 85
 
@@ -48,16 +42,22 @@ def split_name(label: Column) -> Column:
     return F.when(s.rlike(r"^(train|trn)"), "train").when(s.rlike(r"^(test|tst)"), "test").when(s.rlike(r"^(dev|val)"), "dev")
 
 
-class WordIndex:
-    """Index of texts of symbols from 1; counts and extends matches by backward search."""
+def _spread(length: np.ndarray) -> np.ndarray:
+    """0 to length - 1, for each length after the other."""
+    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+
 
-    def __init__(self, texts: list[np.ndarray]):
-        parts: list[np.ndarray] = []
-        for t in texts:
-            parts += [t, np.zeros(1, np.int64)]  # 0 ends a text
-        symbols = np.concatenate(parts) if parts else np.zeros(1, np.int64)
+class WordIndex:
+    """Index of texts of symbols from 1; counts, locates and extends matches by backward search."""
+
+    def __init__(self, texts: list[np.ndarray] | np.ndarray, lengths: np.ndarray | None = None):
+        if lengths is None:
+            lengths = np.array([len(t) for t in texts], np.int64)
+            texts = np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64)
+        # 0 ends a text
+        symbols = np.insert(texts, np.cumsum(lengths), 0) if len(lengths) else np.zeros(1, np.int64)
         n = len(symbols)
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], symbols[order][1:] != symbols[order][:-1]]))
         step = 1
@@ -65,88 +65,186 @@ class WordIndex:
             second = np.full(n, -1, np.int64)
             second[:-step] = rank[step:]
             both = rank * (n + 1) + second + 1
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             rank[order] = np.cumsum(np.concatenate([[0], both[order][1:] != both[order][:-1]]))
             step *= 2
         self.size = n
         transform = symbols[order - 1]
         # sorted (symbol, place): the number of smaller pairs is a symbol's start plus its rank
         self.ranks = np.sort(transform * n + np.arange(n))
+        self.docs = (np.cumsum(symbols == 0) - (symbols == 0))[order].astype(np.int32)
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that begin with symbol, then with what the rows low to high begin with."""
         return np.searchsorted(self.ranks, symbol * self.size + low), np.searchsorted(self.ranks, symbol * self.size + high)
 
-    def matches(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-        """(begin, end, occurrences) of each text's matches, from right to left; symbols of -1 match nothing.
+    def spans(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, begin, end, low, high) of the matches of all texts (flat, one after the other), from right to left.
 
-        All texts advance together, one symbol a step.
+        Symbols of -1 match nothing. All texts advance together, one symbol a step.
         """
-        k = len(texts)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        flat = np.full((k, int(lengths.max(initial=0))), -1, np.int64)
-        for row, t in enumerate(texts):
-            flat[row, : len(t)] = t
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-        low, high, end = np.zeros(k, np.int64), np.full(k, self.size, np.int64), lengths.copy()
-        for at in range(flat.shape[1] - 1, -1, -1):
-            live = np.nonzero(at < lengths)[0]
-            symbol = flat[live, at]
-            a, b = self.extend(low[live], high[live], np.maximum(symbol, 0))
+        k = len(lengths)
+        order = np.argsort(-lengths, kind="stable")
+        ends = np.cumsum(lengths)[order]
+        length = lengths[order]
+        live_at = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")  # texts of more than so many words
+        out: list[tuple[np.ndarray, ...]] = []
+        low, high, end = np.zeros(k, np.int64), np.full(k, self.size, np.int64), length.copy()
+        for back in range(len(live_at)):
+            m = int(live_at[back])
+            at = length[:m] - 1 - back
+            symbol = flat[ends[:m] - 1 - back]
+            a, b = self.extend(low[:m], high[:m], np.maximum(symbol, 0))
             ok = (a < b) & (symbol > 0)
-            for row in live[~ok & (end[live] > at + 1)].tolist():
-                out[row].append((at + 1, int(end[row]), int(high[row] - low[row])))
-            restart = live[~ok]
-            end[restart], low[restart], high[restart] = at + 1, 0, self.size
-            fresh = symbol[~ok]
-            a2, b2 = self.extend(low[restart], high[restart], np.maximum(fresh, 0))
-            found = (a2 < b2) & (fresh > 0)
-            low[restart[found]], high[restart[found]] = a2[found], b2[found]
-            end[restart[~found]] = at
-            kept = live[ok]
-            low[kept], high[kept] = a[ok], b[ok]
-        for row in range(k):
-            if end[row] > 0:
-                out[row].append((0, int(end[row]), int(high[row] - low[row])))
-        return out
-
-
-def _search(part: pd.DataFrame) -> pd.DataFrame:
-    """One shard: index its evaluation records, stream its training records."""
-    vocabulary = Vocabulary()
-    ids = [np.array(word_ids(body_bytes(bytes(t)), vocabulary), np.uint64) for t in part.prompt]
-    held = part.is_train.to_numpy()
-    groups = part.group_no.to_numpy()
-    sizes = [len(x) for x in ids]
-    word = np.concatenate(ids) if ids else np.empty(0, np.uint64)
-    group = np.repeat(groups, sizes).astype(np.uint64)
-    mixed = (word ^ (group * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    known, symbols = np.unique(mixed, return_inverse=True)
-    inside = np.repeat(~held, sizes)
-    seen = np.zeros(len(known), bool)
-    seen[symbols[inside]] = True
-    symbols = np.where(seen[symbols], symbols + 1, -1)
-    cuts = np.cumsum([0, *sizes])
-    texts = [symbols[cuts[k] : cuts[k + 1]] for k in range(len(ids))]
-    index = WordIndex([t for t, h in zip(texts, held) if not h])
-    train = np.nonzero(held)[0]
-    rows = []
-    for first in range(0, len(train), 512):
-        some = train[first : first + 512]
-        for k, found in zip(some, index.matches([texts[k] for k in some])):
-            if found:
-                long = [e - b for b, e, _ in found if e - b >= SPAN]
-                rows.append((part.row_no.iloc[k], part.group_no.iloc[k], len(ids[k]), sum(e - b for b, e, _ in found), sum(long), max(e - b for b, e, _ in found), max(n for b, e, n in found if e - b == max(y - x for x, y, _ in found))))
-    return pd.DataFrame(rows, columns=["row_no", "group_no", "words", "matched", "covered", "longest", "occurrences"])
+            done = np.nonzero(~ok & (end[:m] > at + 1))[0]
+            if len(done):
+                out.append((order[done], at[done] + 1, end[done], low[done], high[done]))
+            again = np.nonzero(~ok)[0]
+            a[again], b[again] = self.extend(np.zeros(len(again), np.int64), np.full(len(again), self.size), np.maximum(symbol[again], 0))
+            none = again[(a[again] >= b[again]) | (symbol[again] <= 0)]
+            end[again] = at[again] + 1
+            end[none], a[none], b[none] = at[none], 0, self.size
+            low[:m], high[:m] = a, b
+        left = np.nonzero(end > 0)[0]
+        out.append((order[left], np.zeros(len(left), np.int64), end[left], low[left], high[left]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def matches(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """(begin, end, occurrences) of each text's matches, from right to left."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        flat = np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64)
+        found = self.spans(flat, np.array([len(t) for t in texts], np.int64))
+        for text, begin, end, low, high in zip(*(x.tolist() for x in found)):
+            out[text].append((begin, end, high - low))
+        return [sorted(x, reverse=True) for x in out]
+
+
+class Bags:
+    """Bags of words, flat; counts words in common of many pairs at once."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, length: np.ndarray):
+        self.words, self.counts, self.length = words, counts.astype(np.int64), length
+        self.starts = np.cumsum(length) - length
+
+    def common(self, mine: np.ndarray, other: "Bags", theirs: np.ndarray) -> np.ndarray:
+        """Words that bag mine[k] here and bag theirs[k] of the other have in common, with repeats."""
+        if not len(mine):
+            return np.empty(0, np.int64)
+        sides = []
+        for bags, k in ((self, mine), (other, theirs)):
+            length = bags.length[k]
+            place = np.repeat(bags.starts[k], length) + _spread(length)
+            sides.append((np.repeat(np.arange(len(k)), length), bags.words[place], bags.counts[place]))
+        (p, w, c), (q, v, d) = sides
+        known, symbol = np.unique(w, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+        held = known[at] == v
+        left, right = p * len(known) + symbol, q[held] * len(known) + at[held]  # both ascend, as words do in a bag
+        found = np.minimum(np.searchsorted(left, right), len(left) - 1)
+        same = left[found] == right
+        return np.bincount(q[held][same], np.minimum(c[found[same]], d[held][same]), len(mine)).astype(np.int64)
+
+
+LINKS = "a long, b long, words long, matched long, covered long, longest long, occurrences long"
+
+
+def _build(part: pa.Table) -> pa.Table:
+    """One shard's index, as one row of arrays."""
+    t = part.column("t").combine_chunks()
+    flat = t.flatten().to_numpy(zero_copy_only=False)
+    vocabulary, symbols = np.unique(flat, return_inverse=True)
+    index = WordIndex(symbols.astype(np.int64) + 1, pa.compute.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64))
+    w = part.column("w").combine_chunks()
+    columns = {"vocabulary": vocabulary, "ranks": index.ranks, "docs": index.docs, "keys": part.column("key").to_numpy(), "n": part.column("n").to_numpy(), "words": w.flatten().to_numpy(zero_copy_only=False)}
+    columns |= {"counts": part.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False), "length": pa.compute.list_value_length(w).to_numpy(zero_copy_only=False)}
+    return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()})
+
+
+_KINDS = {"vocabulary": np.int32, "ranks": np.int64, "docs": np.int32, "keys": np.int64, "n": np.int32, "words": np.int64, "counts": np.int32, "length": np.int32}
+
+
+class Shard:
+    """The index of a shard and the bags of its records."""
+
+    def __init__(self, sent: dict[str, bytes]):
+        x = {k: np.frombuffer(sent[k], kind) for k, kind in _KINDS.items()}
+        self.index = WordIndex.__new__(WordIndex)
+        self.index.size, self.index.ranks, self.index.docs = len(x["ranks"]), x["ranks"], x["docs"]
+        self.vocabulary, self.keys, self.n = x["vocabulary"], x["keys"], x["n"].astype(np.int64)
+        self.bags = Bags(x["words"], x["counts"], x["length"].astype(np.int64))
+
+    def links(self, keys: np.ndarray, n: np.ndarray, flat: np.ndarray, lengths: np.ndarray, bags: Bags, percent: int) -> list[np.ndarray]:
+        """LINKS of some records, found by their spans."""
+        at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        text, begin, end, low, high = self.index.spans(np.where(self.vocabulary[at] == flat, at + 1, -1), lengths)
+        long = end - begin >= SPAN
+        text, size, low, rows = text[long], (end - begin)[long], low[long], (high - low)[long]
+        seen = np.minimum(rows, ROWS)
+        step = np.repeat(np.arange(len(seen)), seen)
+        docs = self.index.docs[low[step] + _spread(seen) * rows[step] // seen[step]]
+        # each record of the shard once for each span
+        pairs = np.unique(step * len(self.keys) + docs)
+        step, docs = np.divmod(pairs, len(self.keys))
+        both, back = np.unique(text[step] * len(self.keys) + docs, return_inverse=True)
+        covered = np.bincount(back, size[step], len(both)).astype(np.int64)
+        best = np.zeros(len(both), np.int64)
+        np.maximum.at(best, back, size[step] * (1 << 32) + rows[step])
+        text, docs = np.divmod(both, len(self.keys))
+        ok = (covered * SHARE >= n[text]) & (self.keys[docs] != keys[text]) & (np.minimum(n[text], self.n[docs]) * 100 >= percent * np.maximum(n[text], self.n[docs]))
+        text, docs, covered, best = text[ok], docs[ok], covered[ok], best[ok]
+        order = np.lexsort((docs, -covered, text))
+        text, docs, covered, best = text[order], docs[order], covered[order], best[order]
+        top = np.arange(len(text)) - np.searchsorted(text, text) < TOP
+        text, docs, covered, best = text[top], docs[top], covered[top], best[top]
+        common = bags.common(text, self.bags, docs)
+        ok = common * 100 >= percent * np.maximum(n[text], self.n[docs])
+        text, docs, common = text[ok], docs[ok], common[ok]
+        return [keys[text], self.keys[docs], n[text], common, np.minimum(covered[ok], common), best[ok] >> 32, best[ok] & 0xFFFFFFFF]
+
+
+def _batch_bags(batch: pa.RecordBatch) -> Bags:
+    w, c = batch.column("w"), batch.column("c")
+    return Bags(w.flatten().to_numpy(zero_copy_only=False), c.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def indexed(bags: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """LINKS from records of bags(key, held, n, w, c, t) to held ones that the full-text index finds.
+
+    A shard's index is built in a task of its own and has about SHARD words, so what is broadcast is
+    bounded; all records are streamed past each shard.
+    """
+    held = bags.where("held")
+    shards = int(held.agg(F.sum("n")).first()[0] or 0) // SHARD + 1
+    parts = held.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).select("shard", "key", "n", "w", "c", "t")
+    built = scratch.keep(parts.groupBy("shard").applyInArrow(lambda key, part: _build(part).append_column("shard", pa.array([key[0].as_py()], pa.int32())), ", ".join(f"{k} binary" for k in _KINDS) + ", shard int"), "index")
+    out = bags.sparkSession.createDataFrame([], LINKS)
+    for (shard,) in built.select("shard").orderBy("shard").collect():
+        sent = bags.sparkSession.sparkContext.broadcast({k: bytes(v) for k, v in built.where(F.col("shard") == shard).first().asDict().items() if k in _KINDS})
+
+        def run(batches, sent=sent):
+            index = Shard(sent.value)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    t = batch.column("t")
+                    found = index.links(batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.int64), t.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64), _batch_bags(batch), percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=[x.split()[0] for x in LINKS.split(", ")])
+
+        out = out.union(bags.select("key", "n", "w", "c", "t").mapInArrow(run, LINKS))
+    return out
 
 
 class Postings:
     """Bags of words by word; finds all bags that share percent of the larger one's words with a given bag."""
 
     def __init__(self, keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, starts: np.ndarray):
-        order = np.argsort(sizes, kind="stable")  # bags are numbered by size, so those of like sizes are neighbours
+        # bags of one root are neighbours, so a given root's are passed over at once; behind them, those alone under their root by size
+        _, back, often = np.unique(roots, return_inverse=True, return_counts=True)
+        many = often[back] > 1
+        order = np.lexsort((sizes, np.where(many, roots, 0), ~many))
+        self.many = int(many.sum())
         length = np.diff(starts)[order]
-        place = np.arange(int(length.sum())) + np.repeat(starts[:-1][order] - np.cumsum(length) + length, length)
+        place = np.repeat(starts[:-1][order], length) + _spread(length)
         self.keys, self.roots, self.sizes = keys[order], roots[order], sizes[order]
         self.starts, self.counts = np.append(0, np.cumsum(length)), counts[place].astype(np.int64)
         self.vocabulary, self.symbols = np.unique(words[place], return_inverse=True)
@@ -164,29 +262,40 @@ class Postings:
         """
         n = int(counts.sum())
         differ = n - (percent * n + 99) // 100
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = self.vocabulary.searchsorted(words)
+        at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == words
         if n - int(counts[known].sum()) > differ:
             return self.keys[:0]
-        low, high = np.searchsorted(self.sizes, ((percent * n + 99) // 100, n * 100 // percent + 1))
+        smallest, largest = (percent * n + 99) // 100, n * 100 // percent
         order = np.argsort(np.where(known, self.often[at], 0), kind="stable")
-        upto = np.cumsum(counts[order])
-        order = order[: int(np.searchsorted(upto, differ + 1 + n // 16)) + 1]
+        upto = counts[order].cumsum()
+        order = order[: int(upto.searchsorted(differ + 1 + n // 16)) + 1]
         least = int(counts[order].sum()) - differ
         order = order[known[order]]
-        symbol = at[order] * len(self.keys)
-        first, last = np.searchsorted(self.postings, symbol + low), np.searchsorted(self.postings, symbol + high)
-        length = last - first
-        place = np.arange(int(length.sum())) + np.repeat(first - np.cumsum(length) + length, length)
-        bag_no = self.postings[place] - np.repeat(symbol + low, length)
-        common = np.bincount(bag_no, np.minimum(self.times[place], np.repeat(counts[order], length)), high - low)
-        maybe = low + np.nonzero((common >= least) & (self.roots[low:high] != root))[0]
+        symbol, times = at[order] * len(self.keys), counts[order]
+        low, high = self.many + self.sizes[self.many :].searchsorted((smallest, largest + 1))
+        ranges = [(low, high)]
+        if self.many:
+            first, last = self.roots[: self.many].searchsorted((root, root + 1))
+            ranges += [(0, first), (last, self.many)]
+        common = np.zeros(len(self.keys))
+        for low, high in ranges:
+            if low < high:
+                first, last = self.postings.searchsorted(symbol + low), self.postings.searchsorted(symbol + high)
+                length = last - first
+                place = np.repeat(first, length) + _spread(length)
+                common[low:high] = np.bincount(self.postings[place] - np.repeat(symbol + low, length), np.minimum(self.times[place], np.repeat(times, length)), high - low)
+        maybe = np.nonzero(common >= least)[0]
+        maybe = maybe[(self.roots[maybe] != root) & (self.sizes[maybe] >= smallest) & (self.sizes[maybe] <= largest)]
         if not len(maybe):
             return self.keys[:0]
         self.own[at[known]] = counts[known]
-        full = [np.minimum(self.own[self.symbols[a:b]], self.counts[a:b]).sum() for a, b in zip(self.starts[maybe], self.starts[maybe + 1])]
+        length = self.starts[maybe + 1] - self.starts[maybe]
+        place = np.repeat(self.starts[maybe], length) + _spread(length)
+        full = np.add.reduceat(np.minimum(self.own[self.symbols[place]], self.counts[place]), np.cumsum(length) - length)
         self.own[at[known]] = 0
-        return self.keys[maybe[np.array(full) * 100 >= percent * np.maximum(self.sizes[maybe], n)]]
+        return self.keys[maybe[full * 100 >= percent * np.maximum(self.sizes[maybe], n)]]
 
 
 def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
@@ -208,10 +317,8 @@ def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
             index = Postings(*sent.value)
             for batch in batches:
                 keys, roots = batch.column("key").to_numpy(), batch.column("root").to_numpy()
-                w, c = batch.column("w"), batch.column("c")
-                cuts = np.append(0, np.cumsum(pa.compute.list_value_length(w).to_numpy()))
-                w, c = w.flatten().to_numpy(), c.flatten().to_numpy().astype(np.int64)
-                near = [index.near(w[cuts[k] : cuts[k + 1]], c[cuts[k] : cuts[k + 1]], roots[k], percent) for k in range(len(keys))]
+                own = _batch_bags(batch)
+                near = [index.near(own.words[a : a + m], own.counts[a : a + m], root, percent) for a, m, root in zip(own.starts.tolist(), own.length.tolist(), roots.tolist())]
                 a = np.repeat(keys, [len(x) for x in near])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([keys[:0], *near]))], names=["a", "b"])
 
@@ -220,28 +327,26 @@ def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def searched(feats: DataFrame, roots: DataFrame, labels: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """(node, root) after all links are added that reach an evaluation record, directly or over others.
+def searched(bags: DataFrame, roots: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """(node, root) after all links are added that reach a held record of bags(key, held, n, w, c), directly or over others.
 
-    First the evaluation records and those linked to one are compared with all, then those that became linked to one, until there are no more.
+    First the held records and those linked to one are compared with all, then those that became linked to one, until there are no more.
     """
-    held = F.count_if(F.col("split_name") != "train") > 0
-    bags = feats.select("key", "f1", "f2").join(labels, "key", "left").groupBy("f1", "f2").agg(F.min("key").alias("key"), held.alias("held"))
-    bags = bags.join(roots, bags.key == roots.node, "left").select("key", "held", F.coalesce("root", "key").alias("root"))
-    bags = scratch.keep(feats.join(bags, "key").dropDuplicates(["key"]).select("key", "held", "root", "n", "w", "c"), "bags")
+    rooted = bags.select("key", "held", "n", "w", "c").join(roots, F.col("key") == F.col("node"), "left")
+    bags = scratch.keep(rooted.select("key", "held", F.coalesce("root", "key").alias("root"), "n", "w", "c"), "rooted")
     tried = None
     for k in itertools.count():
         now = bags.select("key", "held").join(roots, F.col("key") == F.col("node"), "left").select("key", "held", F.coalesce("root", "key").alias("now"))
         seeds = now.join(now.where("held").select("now").distinct(), "now", "left_semi").select("key")
         seeds = seeds if tried is None else seeds.join(tried, "key", "left_anti")
-        seeds = scratch.keep(bags.join(seeds, "key").select("key", "root", "n", "w", "c"), f"seeds{k}")
+        seeds = scratch.keep(bags.join(seeds.distinct(), "key").select("key", "root", "n", "w", "c"), f"seeds{k}")
         if seeds.isEmpty():
             return roots
         found = scratch.keep(_links(bags, seeds, percent), f"found{k}")
         if found.isEmpty():
             return roots
         tried = seeds.select("key") if tried is None else tried.union(seeds.select("key"))
-        roots = components(found.union(roots.select("node", "root")), Scratch(feats.sparkSession, "searched"))
+        roots = components(found.union(roots.select("node", "root")), Scratch(scratch.spark, "searched"))
 
 
 HITS = "row_no long, group_no long, words long, matched long, covered long, longest long, occurrences long"
@@ -251,41 +356,38 @@ def overlaps(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame,
     """(members, hits) of a table with a key, a text and a split label.
 
     members: row_no, group_no, copies_of, split_name of all records in near-duplicate groups that
-    have both a training and an evaluation record. hits: HITS, for each training record (one of
-    equal bags of words) its matches in the evaluation records of its group. Records with a null or unknown split label
+    have both a training and an evaluation record. hits: HITS, for each record (one of
+    equal bags of words) that the index links to an evaluation record: words in common (matched), in merged spans (covered), of the
+    longest span and its occurrences. Records with a null or unknown split label
     take part in the grouping but are no members; nulls and blank texts are in no group.
     """
     scratch = Scratch(df.sparkSession, "overlap")
     labels = df.select(F.col(key).cast("long").alias("key"), split_name(F.col(split)).alias("split_name")).where("split_name is not null").distinct()
-    groups = near_duplicates(df, key, text, PERCENT, search=lambda feats, roots, own: searched(feats, roots, labels, own))
-    rows = scratch.keep(groups.join(labels, "key").select(F.col("key").alias("row_no"), "group_no", "copies_of", "split_name"), "rows")
-    evals = F.when(F.col("split_name") != "train", F.col("copies_of"))
-    both = rows.groupBy("group_no").agg(F.count_if(F.col("split_name") == "train").alias("n_train"), F.count_distinct(evals).alias("n_eval")).where("n_train > 0 and n_eval > 0")
-    both = scratch.keep(both.select("group_no", "n_eval", F.ceil(F.col("n_eval") / BLOCK).cast("int").alias("blocks")), "both")
-    members = scratch.keep(rows.join(both, "group_no"), "members")
-    shards = max(1, round((both.agg(F.sum("n_eval")).first()[0] or 0) / SHARD))
-    is_train = F.col("split_name") == "train"
-    picked = members.groupBy("group_no", "copies_of", is_train.alias("is_train")).agg(F.min("row_no").alias("row_no"), F.first("blocks").alias("blocks"))
-    texts = df.select(F.col(key).cast("long").alias("row_no"), F.col(text).cast("binary").alias("prompt")).where("prompt is not null")
-    picked = picked.join(texts, "row_no").dropDuplicates(["row_no", "is_train"])
-    own = F.array(F.pmod(F.xxhash64("row_no"), F.col("blocks").cast("long")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    placed = picked.withColumn("block", F.explode(F.when(F.col("is_train"), every).otherwise(own)))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("group_no", "block"), F.lit(shards)))
-    found = placed.select("shard", "row_no", "group_no", "is_train", "prompt").groupBy("shard").applyInPandas(_search, HITS)
-    best = found.groupBy("row_no", "group_no", "words").agg(*(F.max(c).alias(c) for c in ("matched", "covered", "longest")), F.sum("occurrences").alias("occurrences"))
-    return members, scratch.keep(best, "hits")
+    feats = scratch.keep(features(df, key, text, order=True), "features")
+    held = F.count_if(F.col("split_name") != "train") > 0
+    prints = scratch.keep(feats.select("key", "f1", "f2").join(labels, "key", "left").groupBy("f1", "f2").agg(F.min("key").alias("key"), held.alias("held")), "prints")
+    bags = scratch.keep(feats.join(prints, ["key", "f1", "f2"]).dropDuplicates(["f1", "f2"]).select("key", "held", "n", "w", "c", "t"), "bags")
+    links = scratch.keep(indexed(bags, scratch), "links")
+    roots = scratch.keep(components(links.select("a", "b"), Scratch(df.sparkSession, "linked")), "roots")
+    roots = searched(bags, roots, scratch)
+    named = prints.join(roots, prints.key == roots.node, "left").select("f1", "f2", F.coalesce("root", "key").alias("group_no"), F.col("key").alias("copies_of"))
+    rows = feats.select("key", "f1", "f2").join(labels, "key").join(named, ["f1", "f2"]).select(F.col("key").alias("row_no"), "group_no", "copies_of", "split_name").distinct()
+    rows = scratch.keep(rows, "rows")
+    both = rows.groupBy("group_no").agg(F.count_if(F.col("split_name") == "train").alias("n_train"), F.count_if(F.col("split_name") != "train").alias("n_eval")).where("n_train > 0 and n_eval > 0")
+    members = scratch.keep(rows.join(both.select("group_no"), "group_no"), "members")
+    best = links.groupBy("a").agg(F.max(F.struct("matched", "covered", "longest", "occurrences", "words")).alias("x"))
+    hits = best.join(members.select("group_no", "copies_of").distinct(), F.col("a") == F.col("copies_of")).select(F.col("a").alias("row_no"), "group_no", *(f"x.{c}" for c in ("words", "matched", "covered", "longest", "occurrences")))
+    return members, scratch.keep(hits, "hits")
 
 
 def pairs(members: DataFrame, hits: DataFrame) -> DataFrame:
     """(row_a, row_b, train_no, eval_no, eval_split, matched): each training record beside all evaluation records of its group.
 
-    matched: the most words of the training record, or of one with the same words, in matches; a record may be
-    linked over others and match none of the group's evaluation records.
+    matched: the most words that the training record's bag has in common with an evaluation record the index links it to; 0 where it
+    is linked over others or by the exact check only.
     """
     train = members.where("split_name = 'train'").select("group_no", "copies_of", F.col("row_no").alias("train_no"))
-    classes = members.where("split_name = 'train'").select("row_no", "copies_of", "group_no").join(hits.select("row_no", "group_no", "matched"), ["row_no", "group_no"])
-    classes = classes.groupBy("group_no", "copies_of").agg(F.max("matched").alias("matched"))
+    classes = hits.groupBy(F.col("row_no").alias("copies_of"), "group_no").agg(F.max("matched").alias("matched"))
     held = members.where("split_name <> 'train'").select("group_no", F.col("row_no").alias("eval_no"), F.col("split_name").alias("eval_split"))
     out = train.join(classes, ["group_no", "copies_of"], "left").join(held, "group_no").where("train_no <> eval_no")
     return out.select(F.least("train_no", "eval_no").alias("row_a"), F.greatest("train_no", "eval_no").alias("row_b"), "train_no", "eval_no", "eval_split", F.coalesce("matched", F.lit(0)).alias("matched"))

@@ -37,8 +37,7 @@ def _prompt(words):
 
 
 def test_pairs_equal_groups(spark, monkeypatch):
-    monkeypatch.setattr(o, "BLOCK", 3)
-    monkeypatch.setattr(o, "SHARD", 4)
+    monkeypatch.setattr(o, "SHARD", 300)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
     rows, want, k = [], set(), 0
@@ -108,3 +107,50 @@ def test_postings_equal_brute_force():
         assert sorted(index.near(w, c, -1, 85).tolist()) == want
         found += len(want)
     assert found > 300
+
+
+def test_the_index_alone_finds_edited_and_reordered_records(spark, monkeypatch):
+    """Spans decide: without the exact check, all pairs with whole lines in common are found, in any order of lines."""
+    monkeypatch.setattr(o, "SHARD", 2000)
+    monkeypatch.setattr(o, "searched", lambda bags, roots, scratch: roots)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    rows, want = [], set()
+    for family in range(80):
+        lines = [[word() for _ in range(12)] for _ in range(6)]
+        near = [list(x) for x in rng.sample(lines, 6)]
+        for k in rng.sample(range(6), 4):
+            near[k][rng.randrange(12)] = word()
+        far = lines[:5] + [[word() for _ in range(12)]]  # 60 of 72 words, fewer than 85 %
+        rows += [(3 * family, _prompt(sum(lines, [])), "train"), (3 * family + 1, _prompt(sum(near, [])), "dev"), (3 * family + 2, _prompt(sum(far, [])), None)]
+        want.add((3 * family, 3 * family + 1))
+    df = spark.createDataFrame(rows, "row_no long, prompt string, split string")
+    members, hits = o.overlaps(df, "row_no", "prompt", "split")
+    assert {(r.row_a, r.row_b) for r in o.pairs(members, hits).collect()} == want
+    got = hits.where("row_no % 3 = 0").collect()
+    assert len(got) == 80 and all(r.matched == 68 and r.words == 72 and 40 <= r.covered <= 68 and 5 <= r.longest <= 12 * 6 for r in got)
+
+
+def test_links_of_one_large_family(spark):
+    """A family of a third of all rows: each record meets few others, and all pairs over the splits come out."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    base = [word() for _ in range(60)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = word()
+        rows.append((k, _prompt(words), "test" if k % 10 == 0 else "train"))
+    rows += [(k, _prompt([word() for _ in range(60)]), rng.choice(["train", "test"])) for k in range(300, 900)]
+    df = spark.createDataFrame(rows, "row_no long, prompt string, split string")
+    assert o.pairs(*o.overlaps(df, "row_no", "prompt", "split")).count() == 30 * 270
+
+
+def test_common_words_equal_brute_force():
+    rng = np.random.default_rng(2)
+    raw = [np.unique(rng.integers(0, 30, rng.integers(1, 40)), return_counts=True) for _ in range(40)]
+    bags = o.Bags(np.concatenate([w for w, _ in raw]), np.concatenate([c for _, c in raw]), np.array([len(w) for w, _ in raw]))
+    mine, theirs = rng.integers(0, 40, 200), rng.integers(0, 40, 200)
+    want = [sum(min(c, dict(zip(*map(list, raw[b]))).get(w, 0)) for w, c in zip(*map(list, raw[a]))) for a, b in zip(mine, theirs)]
+    assert bags.common(mine, bags, theirs).tolist() == want and not len(bags.common(mine[:0], bags, theirs[:0]))
