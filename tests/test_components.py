@@ -28,5 +28,14 @@ def test_chains_stars_and_noise(spark):
     assert got == _brute(edges)
 
 
+def test_tasks_hand_on_what_they_hold(spark, monkeypatch):
+    monkeypatch.setattr("tessera.operators.components.HELD", 20)
+    rng = random.Random(6)
+    edges = [(rng.randrange(-(2**62), 2**62) if k % 9 == 0 else rng.randrange(300), rng.randrange(300)) for k in range(400)]
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.node: r.root for r in components(rows, Scratch(spark, "t")).collect()}
+    assert got == {k: v for k, v in _brute(edges).items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
