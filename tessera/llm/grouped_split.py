@@ -4,12 +4,14 @@ Records are related by an account number or a session id. The graph has one
 vertex for each key and one edge for each pair of keys that some record joins,
 so its size follows the distinct keys. Borůvka rounds contract, for every
 vertex, its least edge (edges carry the distinct row numbers of their first
-records, so there are no ties); the chosen edges are kept as a spanning forest.
-Groups are then stratified by size band and dealt to the splits.
+records, so there are no ties); the chosen edges are written as a spanning forest,
+whose trees are the groups. Their roots are then stratified by size band and dealt to the splits.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +24,6 @@ from tessera.session import Scratch
 ACCOUNT_LABELS = r"account(?:\s*(?:id|no|number))?|acct|uid|user\s*(?:id|no|number)|member(?:\s*(?:id|no|number))?|账号|帐号|账户|会员号|用户\s*(?:id|编号)"
 _ACCOUNT_LINE = rf"(?im)^[ \t]*(?:[-*•][ \t]*)?(?:{ACCOUNT_LABELS})(?![\p{{L}}])[.．]?[ \t]*[:：=#]?[ \t]*([^\n]*)$"
 WIDE = "０１２３４５６７８９"
-DEALS = 4096
 
 
 def account(prompt: Column) -> Column:
@@ -33,34 +34,28 @@ def account(prompt: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def _contract(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Borůvka's rounds over edges(u, v, w), w distinct: (vertex, root) and the forest (w)."""
-    labels, forest = None, []
-    edges = scratch.keep(edges, "round0")
-    k = 0
-    while not edges.isEmpty():
-        k += 1
-        both = edges.select("u", "v", "w").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        best = both.groupBy("u").agg(F.min(F.struct("w", "v")).alias("best")).select("u", "best.v", "best.w")
-        best = scratch.keep(best, f"forest{k}")
-        forest.append(best.select("w"))
+def spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v, w): the edges that Borůvka's rounds over edges(u, v, w), w distinct, contract; a written table.
+
+    An edge keeps the ends it had at first (a, b) while its ends of the round are contracted.
+    """
+    forest = []
+    edges = scratch.keep(edges.selectExpr("u", "v", "w", "u as a", "v as b"), "round0")
+    for k in itertools.count(1):
+        if edges.isEmpty():
+            break
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "a", "b"))
+        best = scratch.keep(both.groupBy("u").agg(F.min(F.struct("w", "v", "a", "b")).alias("x")).select("u", "x.*"), f"forest{k}")
+        forest.append(best.selectExpr("a as u", "b as v", "w"))
         roots = scratch.keep(components(best.select(F.col("u").alias("a"), F.col("v").alias("b")), Scratch(scratch.spark, "contract")), f"roots{k}")
-        if labels is None:
-            labels = roots.select(F.col("node").alias("vertex"), "root")
-        else:
-            step = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
         to = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}{s}"))
-        left = edges.join(to("u"), "u").join(to("v"), "v").where("uu <> vv")
-        left = left.groupBy(F.least("uu", "vv").alias("u"), F.greatest("uu", "vv").alias("v")).agg(F.min("w").alias("w"))
-        edges = scratch.keep(left, f"round{k}")
-    if labels is None:
-        empty = edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
-        return empty, edges.select("w")
-    tree = forest[0]
-    for more in forest[1:]:
+        left = edges.hint("merge").join(to("u"), "u").hint("merge").join(to("v"), "v").where("uu <> vv")
+        left = left.groupBy(F.least("uu", "vv").alias("u"), F.greatest("uu", "vv").alias("v")).agg(F.min(F.struct("w", "a", "b")).alias("x"))
+        edges = scratch.keep(left.select("u", "v", "x.*"), f"round{k}")
+    tree = edges.selectExpr("a as u", "b as v", "w")
+    for more in forest:
         tree = tree.union(more)
-    return scratch.keep(labels, "labels"), tree.distinct()
+    return scratch.keep(tree.distinct(), "spanning_forest")
 
 
 def related_groups(df: DataFrame, key: str, prompt: str, session: str) -> DataFrame:
@@ -80,15 +75,15 @@ def related_groups(df: DataFrame, key: str, prompt: str, session: str) -> DataFr
     keys = scratch.keep(keys, "keys")
     pairs = rows.where("account is not null and session is not null").groupBy("account", "session").agg(F.min("row_no").alias("w"))
     ends = pairs.select(F.concat(F.lit("a"), "account").alias("a"), F.concat(F.lit("s"), "session").alias("s"), "w")
-    ends = ends.join(keys.select(F.col("k").alias("a"), F.col("vertex").alias("u")), "a").join(keys.select(F.col("k").alias("s"), F.col("vertex").alias("v")), "s")
-    labels, forest = _contract(ends.select("u", "v", "w"), scratch)
-    scratch.keep(forest, "spanning_forest")
-    rooted = keys.join(labels, "vertex", "left").select("k", "own", F.coalesce("root", "vertex").alias("root"))
+    ends = ends.hint("merge").join(keys.select(F.col("k").alias("a"), F.col("vertex").alias("u")), "a").hint("merge").join(keys.select(F.col("k").alias("s"), F.col("vertex").alias("v")), "s")
+    forest = spanning_forest(ends.select("u", "v", "w"), scratch)
+    trees = components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")), Scratch(df.sparkSession, "trees"))
+    rooted = keys.hint("merge").join(trees, F.col("vertex") == F.col("node"), "left").select("k", "own", F.coalesce("root", "vertex").alias("root"))
     rooted = scratch.keep(rooted, "rooted")
     sizes = rooted.groupBy("root").agg(F.sum("own").alias("size"))
-    named = rooted.join(sizes, "root").select("k", F.expr("root div 2").alias("group_no"), "size")
+    named = rooted.hint("merge").join(sizes, "root").select("k", F.expr("root div 2").alias("group_no"), "size")
     at = rows.select("row_no", F.coalesce(F.concat(F.lit("a"), "account"), F.concat(F.lit("s"), "session")).alias("k"))
-    return at.join(named, "k").select("row_no", "group_no", "size")
+    return at.hint("merge").join(named, "k").select("row_no", "group_no", "size")
 
 
 def deal(groups: DataFrame, sizes: dict[str, int], seed: int = 42) -> DataFrame:

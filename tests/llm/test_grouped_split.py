@@ -68,3 +68,27 @@ def test_deal_keeps_proportions(spark):
     assert next(r.split for r in got if r.group_no == 9999) == "train"
     assert {r.split for r in g.deal(spark.createDataFrame(groups[:9], "group_no long, size long"), {}).collect()} == {"train"}
     assert g.deal(spark.createDataFrame([], "group_no long, size long"), {"train": 1}).count() == 0
+
+
+def test_spanning_forest(spark):
+    """As many edges as vertices less trees, each of the graph, of the least weight."""
+    from tessera.session import Scratch
+
+    rng = random.Random(7)
+    edges = sorted({(u, v) for u, v in ((rng.randrange(60), rng.randrange(60, 140)) for _ in range(160))})
+    rng.shuffle(edges)
+    edges = [(u, v, w) for w, (u, v) in enumerate(edges)]
+    got = {(r.u, r.v, r.w) for r in g.spanning_forest(spark.createDataFrame(edges, "u long, v long, w long"), Scratch(spark, "t")).collect()}
+    root, want = {}, set()
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v, w in sorted(edges, key=lambda e: e[2]):
+        if find(u) != find(v):
+            root[find(u)] = find(v)
+            want.add((u, v, w))
+    assert {w for _, _, w in got} == {w for _, _, w in want} and {frozenset(e[:2]) for e in got} == {frozenset(e[:2]) for e in want}
+    assert g.spanning_forest(spark.createDataFrame([], "u long, v long, w long"), Scratch(spark, "t")).count() == 0
