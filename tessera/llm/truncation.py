@@ -4,14 +4,15 @@ Evidence, from all documents: (1) structure: an object, a marked-up paragraph
 or a sentence that is left open; (2) a vocabulary trie: the last token is no
 known word but a proper prefix of known ones; (3) what follows the last words
 elsewhere: words after which texts do not end; (4) lengths, in characters or in bytes, that
-are far more frequent in a source than those around. The trie is a
-table of prefixes, joined with the last tokens only, so nothing grows with the vocabulary on one machine.
+are far more frequent in a source than those around. The trie's nodes are
+table rows, made for the prefixes that last tokens ask about only (a hash filter of fixed size tells which), so nothing grows with the vocabulary on one machine.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,17 +22,29 @@ from pyspark.sql.window import Window
 from tessera.functions.jsonx import _closing
 from tessera.session import Scratch
 
+# Patterns with (?r) are matched from the end of a text backwards, however long the match, so nothing before it is read.
 # Marks put behind a cut.
-MARK = regex.compile(r"(?:[ \t]*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.|truncated|cut|more|continued|gekürzt|tronqué|recortado|截断|已截断)\s*\]|\((?:…|\.\.\.|truncated|cut|more|continued)\)|\(continued|<(?:truncated|cut|more)>|\u200b|\ufffd))+[ \t\u200b]*$", regex.I)
-DECOR = regex.compile(r"(?:[ \t]*(?:\p{So}|[\u2600-\u27bf]|\ufe0f|\u200d|\p{Sk}|:\)|:\(|;\)|:D|\{ok\}|\"hm\"|\)|\]|\*+|_+|\"|'|”|’|」|』))+[ \t]*$")
-END = regex.compile(r"[.!?。！？؟।][\"'”’)\]」』*_]*$")
+MARK = regex.compile(r"(?r)(?:[ \t]*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.|truncated|cut|more|continued|gekürzt|tronqué|recortado|截断|已截断)\s*\]|\((?:…|\.\.\.|truncated|cut|more|continued)\)|\(continued|<(?:truncated|cut|more)>|\u200b|\ufffd))+[ \t\u200b]*", regex.I)
+DECOR = regex.compile(r"(?r)(?:[ \t]*(?:\p{So}|[\u2600-\u27bf]|\ufe0f|\u200d|\p{Sk}|:\)|:\(|;\)|:D|\{[^{}\n]*\}|\"[^\"\n]*\"|\)|\]|\*+|_+|\"|'|”|’|」|』))+[ \t]*")
+END = regex.compile(r"(?r)[.!?。！？؟।][\"'”’)\]」』*_]*")
+CLOSED = regex.compile(r"(?r)(?:</[A-Za-z][A-Za-z0-9]*|/)>")
+#: A text that begins as an object or list, or as marked-up blocks; the begin of a list row, a chat row or a heading.
+OBJECT = regex.compile(r"\{\s*[\"}]|\[\s*[\[{\"]")
+MARKED_UP = regex.compile(r"<(?:p|div|ul|ol|h\d|html|body|article|section)\b", regex.I)
+LEAD = regex.compile(r"\s*(?:[-*•] |\d\d:\d\d <|\[\d{4}-|\d\d/\d\d |#)")
+SIGNATURE = regex.compile(r"\s*(?:--|[—–]|\p{L}+[,:：])\s*\p{Lu}\S*(?: \S+){0,2}$")
+SENTENCE = regex.compile(r"[.!?。！？](?:\s|$|(?=\p{Han}))")
+#: Signs behind which a text goes on.
+GOES_ON = frozenset(",;:-–—([/&、，：；（<")
 TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{N}--\p{Han}]+(?:['’][\p{L}\p{M}--\p{Han}]+)*", regex.V1)
 _SPLIT = regex.compile(f"({TOKEN.pattern})", regex.V1)
-UNIT_END = regex.compile(r"[\n.!?。！？…\"<{}\[\]]|\p{So}|:\)|\{ok\}")
+UNIT_END = regex.compile(r"[\n.!?。！？…\"<{}\[\]]|\p{So}|:\)")
 _DIGITS = regex.compile(r"\d+")
 FEW, SEEN = 0.02, 20
 #: Words and pairs counted in memory before a task hands them on.
 HELD = 300_000
+#: Places of the filter of words that are asked about; 256 kB.
+SLOTS = 1 << 21
 
 
 class _Words(dict):
@@ -76,36 +89,37 @@ def look(text: str) -> dict:
     whole = text.rstrip()
     if not whole.strip("\u200b\ufeff \t\r\n"):
         return none
-    found = MARK.search(whole, max(0, len(whole) - 80))  # marks are short
+    found = MARK.match(whole)
     bare = whole[: found.start()] if found else text
     marked = found is not None
     out = none | {"bare": len(bare), "bytes": len(bare.encode("utf-8", "replace")), "mark": marked}
     if whole.endswith("\ufffd"):
         return out | {"cut": True}
     start = text.lstrip()
-    if regex.match(r"\{\s*[\"}]|\[\s*[\[{\"]", start):
+    if OBJECT.match(start):
         return out | {"cut": _closing(start, 0) < 0 if start[0] == "{" else not start.rstrip().endswith("]")}
-    if regex.match(r"<(?:p|div|ul|ol|h\d|html|body|article|section)\b", start, regex.I):
-        tail = DECOR.sub("", bare.rstrip()[-200:])
-        return out | {"cut": not (tail.endswith(">") and regex.search(r"</[A-Za-z][A-Za-z0-9]*>$|/>$", tail) is not None)}
+    if MARKED_UP.match(start):
+        tail = bare.rstrip()
+        decor = DECOR.match(tail)
+        return out | {"cut": CLOSED.match(tail, 0, decor.start() if decor else len(tail)) is None}
     if text.startswith("## ") and text.count("\n## ") >= 1:  # a rendered prompt ends with its last line's end
         return out | {"cut": not text.endswith("\n")}
     if text.endswith("\n") and not marked:
         return out
     bare = bare.rstrip()
-    if END.search(bare, max(0, len(bare) - 40)):
+    if END.match(bare):
         return out
-    if DECOR.search(bare, max(0, len(bare) - 60)):
+    if DECOR.match(bare):
         return out | {"cut": None}  # complete but at a limit
-    if regex.search(r"[,;:\-–—(\[/&、，：；（<]$", bare):
+    if bare[-1:] in GOES_ON:
         return out | {"cut": True}
     line = bare[bare.rfind("\n") + 1 :]
-    lead = regex.match(r"\s*(?:[-*•] |\d\d:\d\d <|\[\d{4}-|\d\d/\d\d |#)", line)
+    lead = LEAD.match(line)
     last = [m for m in TOKEN.finditer(line)][-2:]
     if not last or last[-1].end() != len(line):
         return out | {"cut": None}
-    signed = regex.match(r"\s*(?:--|[—–]|\p{L}+[,:：])\s*\p{Lu}\S*(?: \S+){0,2}$", line) is not None and END.search(bare[: max(0, bare.rfind("\n"))].rstrip()) is not None
-    prose = lead is None and not signed and regex.search(r"[.!?。！？](?:\s|$|(?=\p{Han}))", bare) is not None
+    signed = SIGNATURE.match(line) is not None and END.match(bare[: max(0, bare.rfind("\n"))].rstrip()) is not None
+    prose = lead is None and not signed and SENTENCE.search(bare) is not None
     return out | {"cut": None, "word": _word(last[-1][0]), "before": _word(last[0][0]) if len(last) == 2 else "", "prose": prose, "signed": signed}
 
 
@@ -122,26 +136,57 @@ def looks(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).where("text is not null").mapInArrow(run, LOOKS)
 
 
-def followed(df: DataFrame, text: str) -> DataFrame:
-    """(before, word, n, ends): how often each word occurs (before is null), each pair of words, and any word behind each word (word is null); ends: how often a unit ends there.
+def _slot(kind: str, word: str) -> int:
+    """One of SLOTS places of a word asked about as the last one (w), the one before it (b), or of both (p)."""
+    return zlib.crc32((kind + word).encode("utf-8", "replace")) % SLOTS
 
-    The last word of a text, which may be cut, isn't counted.
+
+def asked_slots(asked: DataFrame) -> np.ndarray:
+    """Which places the words of asked(before, word) have: a filter of fixed size; a place may be shared, which costs a row and harms nothing."""
+    both = F.concat(F.lit("p"), "before", F.lit("\0"), "word")
+    keys = asked.select(F.explode(F.array(F.concat(F.lit("w"), "word"), F.concat(F.lit("b"), "before"), both)).alias("k")).where("k is not null")
+    places = keys.select((F.crc32(F.col("k").cast("binary")) % SLOTS).cast("int").alias("slot")).distinct()
+    held = np.zeros(SLOTS, bool)
+    held[places.toArrow().column(0).to_numpy()] = True  # SLOTS rows at most
+    return held
+
+
+def followed(df: DataFrame, text: str, asked: np.ndarray) -> DataFrame:
+    """(before, word, n, ends, longer): how often each asked word occurs (before is null), each asked pair of words, and any word behind an asked one (word is null).
+
+    ends: how often a unit ends there; longer: known words, as the tasks meet them, that the word is a proper prefix of.
+    The last word of a text, which may be cut, isn't counted. Words nobody asks about are counted in the tasks only.
     """
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(asked))
 
-    def rows(counts: dict[tuple[str, str, bool], int]) -> pa.RecordBatch:
-        n: Counter = Counter()
-        ends: Counter = Counter()
+    def rows(counts: dict[tuple[str, str, bool], int], held: np.ndarray) -> pa.RecordBatch:
+        found: dict[tuple[str | None, str | None], list[int]] = {}
+        known: dict[str, bool] = {}
+        first: dict[str, bool] = {}
         for (before, word, end), k in counts.items():
-            for key in ((None, word), (before, word), (before, None)):
-                n[key] += k
-                if end:
-                    ends[key] += k
-        keys = list(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["before", "word", "n", "ends"]
-        )
+            last = known.get(word)
+            if last is None:
+                last = known[word] = bool(held[_slot("w", word)])
+                for size in range(1, len(word)):
+                    if held[_slot("w", word[:size])]:
+                        found.setdefault((None, word[:size]), [0, 0, 0])[2] += 1
+            keys = [(None, word)] if last else []
+            b = first.get(before)
+            if b is None:
+                b = first[before] = bool(held[_slot("b", before)])
+            if b:
+                keys.append((before, None))
+                if last and held[_slot("p", before + "\0" + word)]:
+                    keys.append((before, word))
+            for key in keys:
+                at = found.setdefault(key, [0, 0, 0])
+                at[0] += k
+                at[1] += k * end
+        columns = list(zip(*((*key, *value) for key, value in found.items()))) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["before", "word", "n", "ends", "longer"])
 
     def run(batches):
+        held = np.unpackbits(sent.value).astype(bool)
         counts: dict[tuple[str, str, bool], int] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -151,12 +196,12 @@ def followed(df: DataFrame, text: str) -> DataFrame:
                     counts[key] = counts.get(key, 0) + 1
                     before = "" if end else word
                 if len(counts) > HELD:
-                    yield rows(counts)
+                    yield rows(counts, held)
                     counts.clear()
-        yield rows(counts)
+        yield rows(counts, held)
 
-    got = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "before string, word string, n long, ends long")
-    return got.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    got = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(run, "before string, word string, n long, ends long, longer long")
+    return got.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "longer")))
 
 
 def limits(seen: DataFrame) -> DataFrame:
@@ -185,15 +230,13 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """
     scratch = Scratch(df.sparkSession, "truncated")
     seen = scratch.keep(looks(df, key, text, source), "looks")
-    known = scratch.keep(followed(df, text), "followed")
-    open_ = seen.where("cut is null")
-    asked = open_.select("before", "word").distinct()
-    one = known.where("before is null").select("word", F.col("n").alias("n1"), F.col("ends").alias("e1"))
+    asked = scratch.keep(seen.where("cut is null and word is not null").select("before", "word").distinct(), "asked")
+    known = scratch.keep(followed(df, text, asked_slots(asked)), "followed")
+    # longer: the node of the vocabulary trie, a proper prefix of so many known words
+    one = known.where("before is null").select("word", F.col("n").alias("n1"), F.col("ends").alias("e1"), "longer")
     pair = known.where("before is not null and word is not null").select("before", "word", F.col("n").alias("n2"), F.col("ends").alias("e2"))
     any_ = known.where("word is null").select("before", F.col("n").alias("n3"), F.col("ends").alias("e3"))
-    # the trie: a node for each proper prefix of a known word
-    trie = one.where("length(word) > 1").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))")).alias("word")).groupBy("word").agg(F.count("*").alias("longer"))
-    told = asked.join(one, "word", "left").join(pair, ["before", "word"], "left").join(any_, "before", "left").join(trie, "word", "left")
+    told = asked.join(one, "word", "left").join(pair, ["before", "word"], "left").join(any_, "before", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     rate = F.when(n("n2") >= SEEN, n("e2") / n("n2")).when((n("n1") >= 4 * SEEN) | (n("n3") < SEEN), F.when(n("n1") > 0, n("e1") / n("n1"))).otherwise(n("e3") / n("n3"))
     told = told.select("before", "word", ((n("n1") == 0) & (n("longer") > 0)).alias("prefix"), F.coalesce(rate < FEW, F.lit(False)).alias("inner"))

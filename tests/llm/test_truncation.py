@@ -18,6 +18,31 @@ def test_structure():
     assert t.look("All done.\n-- Velvana")["signed"] and not t.look("All done.\nnow then")["signed"]
 
 
+def test_ends_of_any_length():
+    """What stands at the end counts whole, however long."""
+    for k in (3, 200, 5000):
+        got = t.look("He went to the sto" + "." * k)
+        assert got["cut"] is None and got["word"] == "sto" and got["mark"] and got["bare"] == 18
+    for k in (1, 250, 5000):
+        assert t.look("<p>Hi there</p>" + "🎉" * k)["cut"] is False and t.look("<p>Hi there" + "🎉" * k)["cut"] is True
+        assert t.look("It is done." + '"' * k)["cut"] is False
+        assert t.look("It is done 🎉" + " 🎉" * k)["cut"] is None
+        assert t.look("Half a wor" + " [truncated]" * k)["word"] == "wor"
+
+
+def test_asked_words_only(spark):
+    import numpy as np
+
+    rows = [("one two three. four two",), ("one two threefold five six",), ("one twofold. two five",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    every = {(r.before, r.word): (r.n, r.ends) for r in t.followed(df, "text", np.ones(t.SLOTS, bool)).collect() if r.n}
+    assert every[None, "two"] == (3, 0) and every["one", "two"] == (2, 0) and every["one", None] == (3, 1) and every[None, "three"] == (1, 1) and every["", "two"] == (1, 0)
+    asked = spark.createDataFrame([("one", "two"), ("", "three"), ("x", "fou"), (None, None)], "before string, word string")
+    got = {(r.before, r.word): (r.n, r.ends, r.longer) for r in t.followed(df, "text", t.asked_slots(asked)).collect()}
+    assert {k: v[:2] for k, v in got.items() if v[0]} == {k: every[k] for k in [(None, "two"), ("one", "two"), ("one", None), (None, "three"), ("", None)]}
+    assert got[None, "two"][2] == 1 and got[None, "fou"] == (0, 0, 1) and got[None, "three"][2] == 1
+
+
 def _corpus(rng):
     """Chat lines without full stops, complete ones and ones cut at 300 characters or inside a word."""
     names = ["".join(rng.choice(["ba", "do", "ki", "lu", "me", "no", "ra", "si"]) for _ in range(3)).title() for _ in range(40)]
