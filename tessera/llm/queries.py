@@ -24,12 +24,15 @@ def p4_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of containers, the least number that could do, and the share of space used."""
-    from tessera.llm.packing import packed
+    """Number of containers, the least number that could do, the share of space used, and how far windows of ten containers drift from the sources' shares."""
+    from tessera.llm.packing import WINDOW, drifts, packed
+    from tessera.session import Scratch
 
-    found = packed(table(spark, folder, "train_lora"), "row_no", "prompt", "source")
+    found = Scratch(spark, "packed").keep(packed(table(spark, folder, "train_lora"), "row_no", "prompt", "source"), "found")
     total = F.sum("size")
-    return found.agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.ceil(total / 6000).alias("least"), (total / (F.count_distinct("container") * 6000)).alias("used"))
+    mean, p99, most = drifts(found).agg(F.avg("drift"), F.percentile("drift", 0.99), F.max("drift")).first()
+    counts = found.agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.ceil(total / 6000).alias("least"), (total / (F.count_distinct("container") * 6000)).alias("used"))
+    return counts.withColumns({"window": F.lit(WINDOW), "mean_drift": F.lit(mean).cast("double"), "p99_drift": F.lit(p99).cast("double"), "most_drift": F.lit(most).cast("double")})
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:

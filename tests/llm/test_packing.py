@@ -56,3 +56,68 @@ def test_every_piece_once_over_packs(spark, monkeypatch):
     r = got.agg(F.max("n"), F.sum("n"), F.sum("k"), F.count("*"), F.max("container")).first()
     assert r[0] <= 100 and r[1] == total and r[2] == pieces and r[4] == r[3] - 1
     assert r[3] <= -(-total // 100) * 1.03 + 1
+
+
+def test_no_source_gets_more_than_a_container_beyond_its_due():
+    """In every window, while all sources have items, and with deficits carried in."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = [rng.choice([rng.randrange(1, 6001), rng.randrange(100, 2000)]) for _ in range(3000)]
+        queues = [min(int(rng.paretovariate(0.8)), 6) for _ in sizes]
+        total = sum(sizes)
+        shares = {q: sum(n for n, x in zip(sizes, queues) if x == q) / total for q in set(queues)}
+        carried = {q: rng.uniform(-6000, 0) for q in shares}
+        where = p.pack(sizes, queues, shares, carried, 6000)
+        got = defaultdict(Counter)
+        for n, q, c in zip(sizes, queues, where):
+            got[c][q] += n
+        # the first queue is empty behind it; shortly before, few sizes are left and what fits may be in one queue only
+        end = int(0.9 * min(max(c for c in got if got[c][q]) for q in shares))
+        deficit = dict(carried)
+        low = []
+        for c in range(end):
+            for q in shares:
+                deficit[q] += shares[q] * 6000 - got[c][q]
+            low.append(min(deficit.values()))
+        assert end > 0.7 * len(got) and min(low) >= -6000 - 1e-6
+        for q in shares:  # the same over windows of ten
+            for c in range(0, end - 10, 10):
+                amount = sum(got[k][q] for k in range(c, c + 10))
+                assert amount <= shares[q] * 60_000 + len(shares) * 6000
+
+
+def test_packs_have_the_mixture_and_carry(spark, monkeypatch):
+    monkeypatch.setattr(p, "PACK", 250)
+    from tessera.session import Scratch
+
+    rng = random.Random(12)
+    rows = [(k, "x" * rng.randrange(1, 101), rng.choice(["hot", "hot", "hot", "a", "b", None])) for k in range(3000)]
+    items = p.items(spark.createDataFrame(rows, "row_no long, prompt string, source string"), "row_no", "prompt", "source", 100)
+    got = p.dealt(items, None, Scratch(spark, "t")).collect()
+    share, supply = {r.queue: r.share for r in got}, defaultdict(Counter)
+    for r in got:
+        supply[r.pack][r.queue] += r.size
+    total = sum(r.size for r in got)
+    assert sorted(supply) == list(range(12)) and abs(sum(share.values()) - 1) < 1e-9
+    so_far, late = Counter(), {(r.pack, r.queue): max(x.late for x in got if (x.pack, x.queue) == (r.pack, r.queue)) for r in got}
+    for k in range(12):
+        for q in share:
+            assert abs(late[k, q] - (share[q] * total / 12 * k - so_far[q])) < 1e-3  # what the packs before gave too much or too little
+            so_far[q] += supply[k][q]
+            assert abs(so_far[q] - share[q] * total / 12 * (k + 1)) <= 100
+
+
+def test_targets(spark, monkeypatch):
+    monkeypatch.setattr(p, "PACK", 200)
+    rng = random.Random(13)
+    rows = [(k, "x" * rng.randrange(1, 101), "a" if k % 2 else ["b", "c"][k % 4 // 2]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "row_no long, prompt string, source string")
+    got = p.packed(df, "row_no", "prompt", "source", 100, {"a": 0.2, "b": 0.4}).collect()
+    assert len(got) == 2000 and len({r.row_no for r in got}) == 2000
+    early = Counter()
+    for r in got:
+        if r.container < 200:
+            early[r.queue] += r.size
+    assert abs(early["=a"] / early.total() - 0.2) < 0.06 and abs(early["=b"] / early.total() - 0.4) < 0.06
+    drift = p.drifts(p.packed(df, "row_no", "prompt", "source", 100), 10).where("window < 90")
+    assert drift.agg(F.avg("drift")).first()[0] < 0.05 and drift.where("abs(share - target) <> drift").count() == 0
