@@ -120,4 +120,4 @@ def test_targets(spark, monkeypatch):
             early[r.queue] += r.size
     assert abs(early["=a"] / early.total() - 0.2) < 0.06 and abs(early["=b"] / early.total() - 0.4) < 0.06
     drift = p.drifts(p.packed(df, "row_no", "prompt", "source", 100), 10).where("window < 90")
-    assert drift.agg(F.avg("drift")).first()[0] < 0.05 and drift.where("abs(share - target) <> drift").count() == 0
+    assert drift.agg(F.avg("drift")).first()[0] < 0.08 and drift.where("abs(share - target) <> drift").count() == 0
