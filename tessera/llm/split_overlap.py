@@ -18,6 +18,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ from tessera.operators.components import components
 from tessera.session import Scratch
 
 #: Words of a span that counts as covered text.
-SPAN = 5
+SPAN = 8
 #: A candidate covers one word in so many of a record; a span's rows, and a record's candidates, that are looked at. The exact check does the rest.
-SHARE, ROWS, TOP = 4, 64, 8
+SHARE, ROWS, TOP = 4, 12, 6
 #: Words of an index (12 bytes each), or different words whose postings go out at once.
 SHARD = POSTINGS = 4_000_000
 #: Near-same records have so many percent of the larger one's words in common.
@@ -68,11 +69,15 @@ class WordIndex:
             order = np.argsort(both)
             rank[order] = np.cumsum(np.concatenate([[0], both[order][1:] != both[order][:-1]]))
             step *= 2
-        self.size = n
         transform = symbols[order - 1]
-        # sorted (symbol, place): the number of smaller pairs is a symbol's start plus its rank
-        self.ranks = np.sort(transform * n + np.arange(n))
-        self.docs = (np.cumsum(symbols == 0) - (symbols == 0))[order].astype(np.int32)
+        # places of each symbol in the transform, one symbol after the other: a symbol's first row plus its rank is a place here
+        starts = np.append(0, np.cumsum(np.bincount(symbols, minlength=2)))
+        self._hold(starts, np.argsort(transform, kind="stable"), (np.cumsum(symbols == 0) - (symbols == 0))[order].astype(np.int32))
+
+    def _hold(self, starts: np.ndarray, places: np.ndarray, docs: np.ndarray) -> "WordIndex":
+        self.size, self.starts, self.docs = len(places), starts, docs
+        self.ranks = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * self.size + places
+        return self
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes that begin with symbol, then with what the rows low to high begin with."""
@@ -100,8 +105,9 @@ class WordIndex:
             if len(done):
                 out.append((order[done], at[done] + 1, end[done], low[done], high[done]))
             again = np.nonzero(~ok)[0]
-            a[again], b[again] = self.extend(np.zeros(len(again), np.int64), np.full(len(again), self.size), np.maximum(symbol[again], 0))
-            none = again[(a[again] >= b[again]) | (symbol[again] <= 0)]
+            fresh = np.clip(symbol[again], 0, len(self.starts) - 2)
+            a[again], b[again] = self.starts[fresh], self.starts[fresh + 1]
+            none = again[(a[again] >= b[again]) | (symbol[again] <= 0) | (symbol[again] > fresh)]
             end[again] = at[again] + 1
             end[none], a[none], b[none] = at[none], 0, self.size
             low[:m], high[:m] = a, b
@@ -155,21 +161,20 @@ def _build(part: pa.Table) -> pa.Table:
     vocabulary, symbols = np.unique(flat, return_inverse=True)
     index = WordIndex(symbols.astype(np.int64) + 1, pa.compute.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64))
     w = part.column("w").combine_chunks()
-    columns = {"vocabulary": vocabulary, "ranks": index.ranks, "docs": index.docs, "keys": part.column("key").to_numpy(), "n": part.column("n").to_numpy(), "words": w.flatten().to_numpy(zero_copy_only=False)}
+    columns = {"vocabulary": vocabulary, "starts": index.starts, "places": (index.ranks % index.size).astype(np.int32), "docs": index.docs, "keys": part.column("key").to_numpy(), "n": part.column("n").to_numpy(), "words": w.flatten().to_numpy(zero_copy_only=False)}
     columns |= {"counts": part.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False), "length": pa.compute.list_value_length(w).to_numpy(zero_copy_only=False)}
-    return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()})
+    return pa.table({k: pa.array([zstandard.compress(v.astype(_KINDS[k]).tobytes(), 3)], pa.binary()) for k, v in columns.items()})
 
 
-_KINDS = {"vocabulary": np.int32, "ranks": np.int64, "docs": np.int32, "keys": np.int64, "n": np.int32, "words": np.int64, "counts": np.int32, "length": np.int32}
+_KINDS = {"vocabulary": np.int32, "starts": np.int64, "places": np.int32, "docs": np.int32, "keys": np.int64, "n": np.int32, "words": np.int64, "counts": np.int32, "length": np.int32}
 
 
 class Shard:
     """The index of a shard and the bags of its records."""
 
     def __init__(self, sent: dict[str, bytes]):
-        x = {k: np.frombuffer(sent[k], kind) for k, kind in _KINDS.items()}
-        self.index = WordIndex.__new__(WordIndex)
-        self.index.size, self.index.ranks, self.index.docs = len(x["ranks"]), x["ranks"], x["docs"]
+        x = {k: np.frombuffer(zstandard.decompress(sent[k]), kind) for k, kind in _KINDS.items()}
+        self.index = WordIndex.__new__(WordIndex)._hold(x["starts"], x["places"].astype(np.int64), x["docs"])
         self.vocabulary, self.keys, self.n = x["vocabulary"], x["keys"], x["n"].astype(np.int64)
         self.bags = Bags(x["words"], x["counts"], x["length"].astype(np.int64))
 
@@ -246,56 +251,63 @@ class Postings:
         length = np.diff(starts)[order]
         place = np.repeat(starts[:-1][order], length) + _spread(length)
         self.keys, self.roots, self.sizes = keys[order], roots[order], sizes[order]
-        self.starts, self.counts = np.append(0, np.cumsum(length)), counts[place].astype(np.int64)
-        self.vocabulary, self.symbols = np.unique(words[place], return_inverse=True)
-        postings = self.symbols * len(keys) + np.repeat(np.arange(len(keys)), length)
+        self.bags = Bags(words[place], counts[place], length)
+        self.vocabulary, symbols = np.unique(self.bags.words, return_inverse=True)
+        postings = symbols * len(keys) + np.repeat(np.arange(len(keys)), length)
         order = np.argsort(postings)
-        self.postings, self.times = postings[order], self.counts[order]
-        self.often = np.bincount(self.symbols, minlength=len(self.vocabulary))
-        self.own = np.zeros(len(self.vocabulary), np.int64)
+        self.postings, self.times = postings[order], self.bags.counts[order]
+        self.often = np.bincount(symbols, minlength=len(self.vocabulary))
 
     def near(self, words: np.ndarray, counts: np.ndarray, root: int, percent: int) -> np.ndarray:
-        """Keys of the bags under other roots; exact. words are distinct.
+        """Keys of the bags under other roots that are near-same to one bag of distinct words."""
+        return self.near_all(Bags(words, counts, np.array([len(words)])), np.array([root]), percent)[1]
+
+    def near_all(self, own: Bags, roots: np.ndarray, percent: int, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a given bag, key of a bag here) of all near-same pairs under different roots; exact.
 
         A bag of n words and a near-same one differ in at most n - least of them. So of any words that
         occur more often than that, the near-same bag has the rest; the rarest words are taken.
         """
-        n = int(counts.sum())
-        differ = n - (percent * n + 99) // 100
-        at = self.vocabulary.searchsorted(words)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == words
-        if n - int(counts[known].sum()) > differ:
-            return self.keys[:0]
-        smallest, largest = (percent * n + 99) // 100, n * 100 // percent
-        order = np.argsort(np.where(known, self.often[at], 0), kind="stable")
-        upto = counts[order].cumsum()
-        order = order[: int(upto.searchsorted(differ + 1 + n // 16)) + 1]
-        least = int(counts[order].sum()) - differ
-        order = order[known[order]]
-        symbol, times = at[order] * len(self.keys), counts[order]
-        low, high = self.many + self.sizes[self.many :].searchsorted((smallest, largest + 1))
-        ranges = [(low, high)]
-        if self.many:
-            first, last = self.roots[: self.many].searchsorted((root, root + 1))
-            ranges += [(0, first), (last, self.many)]
-        common = np.zeros(len(self.keys))
-        for low, high in ranges:
-            if low < high:
-                first, last = self.postings.searchsorted(symbol + low), self.postings.searchsorted(symbol + high)
-                length = last - first
-                place = np.repeat(first, length) + _spread(length)
-                common[low:high] = np.bincount(self.postings[place] - np.repeat(symbol + low, length), np.minimum(self.times[place], np.repeat(times, length)), high - low)
-        maybe = np.nonzero(common >= least)[0]
-        maybe = maybe[(self.roots[maybe] != root) & (self.sizes[maybe] >= smallest) & (self.sizes[maybe] <= largest)]
-        if not len(maybe):
-            return self.keys[:0]
-        self.own[at[known]] = counts[known]
-        length = self.starts[maybe + 1] - self.starts[maybe]
-        place = np.repeat(self.starts[maybe], length) + _spread(length)
-        full = np.add.reduceat(np.minimum(self.own[self.symbols[place]], self.counts[place]), np.cumsum(length) - length)
-        self.own[at[known]] = 0
-        return self.keys[maybe[full * 100 >= percent * np.maximum(self.sizes[maybe], n)]]
+        out = [(np.empty(0, np.int64), self.keys[:0])]
+        size = np.add.reduceat(own.counts, own.starts) if len(own.starts) else own.counts[:0]
+        for begin in range(0, len(size), at_once):
+            n, root = size[begin : begin + at_once], roots[begin : begin + at_once]
+            k = len(n)
+            row = np.repeat(np.arange(k), own.length[begin : begin + k])
+            first = own.starts[begin]
+            words, counts = own.words[first : first + len(row)], own.counts[first : first + len(row)]
+            at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == words
+            smallest, largest = (percent * n + 99) // 100, n * 100 // percent
+            differ = n - smallest
+            order = np.lexsort((np.where(known, self.often[at], 0), row))
+            c = counts[order]
+            upto = np.cumsum(c) - np.repeat(np.cumsum(n) - n, own.length[begin : begin + k])  # of the rarer words of the row, with this one
+            taken = order[(upto - c < (differ + 1 + n // 16)[row])]
+            least = np.bincount(row[taken], counts[taken], k) - differ
+            taken = taken[known[taken] & (np.bincount(row[~known], counts[~known], k) <= differ)[row[taken]]]
+            of, symbol, times = row[taken], at[taken] * len(self.keys), counts[taken]
+            alone = self.sizes[self.many :]
+            ranges = [(self.many + np.searchsorted(alone, smallest), self.many + np.searchsorted(alone, largest + 1))]
+            if self.many:
+                several = self.roots[: self.many]
+                ranges += [(np.zeros(k, np.int64), np.searchsorted(several, root)), (np.searchsorted(several, root, side="right"), np.full(k, self.many))]
+            cells, shared = [], []
+            for low, high in ranges:
+                a, b = np.searchsorted(self.postings, symbol + low[of]), np.searchsorted(self.postings, symbol + high[of])
+                length = np.maximum(b - a, 0)
+                place = np.repeat(a, length) + _spread(length)
+                cells.append(self.postings[place] + np.repeat(of * len(self.keys) - symbol, length))
+                shared.append(np.minimum(self.times[place], np.repeat(times, length)))
+            common = np.bincount(np.concatenate(cells), np.concatenate(shared), k * len(self.keys)).reshape(k, len(self.keys))
+            mine, theirs = np.nonzero(common >= least[:, None])
+            ok = (self.roots[theirs] != root[mine]) & (self.sizes[theirs] >= smallest[mine]) & (self.sizes[theirs] <= largest[mine])
+            mine, theirs = mine[ok], theirs[ok]
+            for part in range(0, len(mine), 4096):
+                x, y = mine[part : part + 4096], theirs[part : part + 4096]
+                near = own.common(x + begin, self.bags, y) * 100 >= percent * np.maximum(self.sizes[y], n[x])
+                out.append((x[near] + begin, self.keys[y[near]]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
@@ -317,10 +329,8 @@ def _links(bags: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
             index = Postings(*sent.value)
             for batch in batches:
                 keys, roots = batch.column("key").to_numpy(), batch.column("root").to_numpy()
-                own = _batch_bags(batch)
-                near = [index.near(own.words[a : a + m], own.counts[a : a + m], root, percent) for a, m, root in zip(own.starts.tolist(), own.length.tolist(), roots.tolist())]
-                a = np.repeat(keys, [len(x) for x in near])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([keys[:0], *near]))], names=["a", "b"])
+                at, near = index.near_all(_batch_bags(batch), roots, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(near)], names=["a", "b"])
 
         found = bags.select("key", "root", "w", "c").mapInArrow(run, "a long, b long")
         out = found if out is None else out.union(found)
