@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.numbers import round_places
+
 
 def search(df: DataFrame, keyword: str | None, *columns: str) -> DataFrame:
     """Rows where any of the columns contains the keyword, whatever case; wildcards in it keep their meaning."""
@@ -125,7 +127,7 @@ def progress(done: Column, total: Column) -> Column:
 def success_rate(df: DataFrame, ok: Column, failed: Column) -> DataFrame:
     """One row: succeeded, failed, and the rate among finished ones to 4 places, null if none is."""
     counts = df.agg(F.count_if(ok).alias("succeeded"), F.count_if(failed).alias("failed"))
-    return counts.withColumn("rate", F.floor(F.try_divide("succeeded", F.col("succeeded") + F.col("failed")) * 10000 + 0.5) / 10000)
+    return counts.withColumn("rate", round_places(F.try_divide("succeeded", F.col("succeeded") + F.col("failed"))))
 
 
 def first_occurrences(df: DataFrame, columns: list[str], order: str) -> DataFrame:

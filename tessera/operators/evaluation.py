@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import round_places
 from tessera.functions import promptx as px
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, embed_texts, with_vectors
@@ -23,7 +24,7 @@ _LINE = r"(?md)^\[([^\]\n]+)\] ([^\n:：]+?)[:：] ?([^\n]*)$"
 
 
 def _round4(c: Column) -> Column:
-    return F.floor(c * 10000 + 0.5) / 10000
+    return round_places(c)
 
 
 def names(prompt: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.numbers import round_places
 from tessera.functions import jsonx
 from tessera.functions.text import normalize
 
@@ -195,7 +196,7 @@ def weighted_total(dims: dict[str, Column], weights: dict[str, float] = WEIGHTS)
         if k in dims:
             total = total + F.coalesce(dims[k] * weights[k], zero)
             weight = weight + F.when(dims[k].isNotNull(), weights[k]).otherwise(0.0)
-    return F.coalesce(F.floor(F.try_divide(total, weight) * 10000 + 0.5) / 10000, zero)
+    return F.coalesce(round_places(F.try_divide(total, weight)), zero)
 
 
 def judge(*_: object) -> None:
@@ -230,6 +231,6 @@ def high_risk_reasons(d: dict[str, Column], finish_reason: Column) -> Column:
     """Ordered names of the failing conditions; a null score fails none."""
     low = lambda c, name: F.when(c < 0.6, name)
     parts = [F.when(d["json_valid"] != 1, "json_invalid"), low(d["intent_score"], "intent_low"), F.when(finish_reason == "length", "truncated")]
-    parts += [low(d[c], f"{c}_low") for c in ("memory_precision", "memory_recall", "speaker_attribution", "summary_score", "other")]
+    parts += [low(d[c], c) for c in ("memory_precision", "memory_recall", "speaker_attribution", "summary_score", "other")]
     parts.append(F.when(d["hallucination_penalty"] > 0.2, "hallucination_high"))
     return F.array_compact(F.array(*parts))

@@ -92,7 +92,7 @@ def status_counts(spark, folder):
     return table(spark, folder, "export_user_chat_analysis").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@R.add("select count(*) filter (where status = 1) as succeeded, count(*) filter (where status = 0) as failed, floor(count(*) filter (where status = 1) * 1.0::double / count(*) * 10000 + 0.5) / 10000 as rate from export_user_chat_analysis where status in (0, 1)")
+@R.add("select count(*) filter (where status = 1) as succeeded, count(*) filter (where status = 0) as failed, cast(format('{:.4f}', count(*) filter (where status = 1) * 1.0::double / count(*)) as double) as rate from export_user_chat_analysis where status in (0, 1)")
 def dashboard_rate(spark, folder):
     return c.success_rate(table(spark, folder, "export_user_chat_analysis"), F.col("status") == 1, F.col("status") == 0)
 

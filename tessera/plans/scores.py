@@ -29,15 +29,15 @@ def _dims():
     return {k: 1 - F.col("hallucination_penalty") if k == "hallucination" else F.col(k) for k in scoring.WEIGHTS}
 
 
-@R.add(f"select score_no, coalesce(floor(({_NUM}) / nullif({_DEN}, 0) * 10000 + 0.5) / 10000, 0) as total from sample_score")
+@R.add(f"select score_no, coalesce(cast(format('{{:.4f}}', ({_NUM}) / nullif({_DEN}, 0)) as double), 0) as total from sample_score")
 def weighted_totals(spark, folder):
     return table(spark, folder, "sample_score").select("score_no", scoring.weighted_total(_dims()).alias("total"))
 
 
-_LOW = {"memory_precision": "memory_precision_low", "memory_recall": "memory_recall_low", "speaker_attribution": "speaker_attribution_low", "summary_score": "summary_score_low", "other": "other_low"}
+_LOW = ("memory_precision", "memory_recall", "speaker_attribution", "summary_score", "other")
 _WHY = (
     "list_filter([case when json_valid <> 1 then 'json_invalid' end, case when intent_score < 0.6 then 'intent_low' end, case when finish_reason = 'length' then 'truncated' end, "
-    + ", ".join(f"case when {k} < 0.6 then '{v}' end" for k, v in _LOW.items())
+    + ", ".join(f"case when {k} < 0.6 then '{k}' end" for k in _LOW)
     + ", case when hallucination_penalty > 0.2 then 'hallucination_high' end], lambda x: x is not null)"
 )
 

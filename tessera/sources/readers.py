@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PROMPTS = T.StructType([T.StructField("content", T.StringType()), T.StructField("category", T.StringType())])
 DATASET = T.StructType([T.StructField("prompt", T.StringType()), T.StructField("output", T.StringType())])
@@ -12,10 +13,21 @@ DUMP = T.StructType([T.StructField("id", T.LongType()), T.StructField("student",
 DEFAULT_CATEGORY = "默认"
 
 
+def _numbered(scan: DataFrame) -> DataFrame:
+    """A scan of files with row_no: dense from 1 over all files, by path and then by place in the file, however many splits there are.
+
+    Rows are counted by split first; a row's number is the rows of the splits before plus its place in its own.
+    """
+    marked = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = marked.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return marked.join(offsets, ["_file", "_start"]).withColumn("row_no", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_file", "_start", "_id", "_first", "_before")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, value): lines of a text file, numbered from 1. Numbers are dense within a file that is read by one task,
-    and increasing otherwise; tables that need dense numbers bring their own."""
-    return spark.read.text(path).withColumn("row_no", F.monotonically_increasing_id() + 1)
+    """(value, row_no): lines of text files, numbered from 1 without gaps."""
+    return _numbered(spark.read.text(path))
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
@@ -38,7 +50,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = F
 def csv_prompts(spark: SparkSession, path: str, category: str = DEFAULT_CATEGORY) -> DataFrame:
     """(row_no, content, category) of a CSV; header rows (content, category in any case) and rows with a blank first cell are skipped."""
     rows = spark.read.csv(path, schema="content string, category string", header=False, quote='"', escape='"', multiLine=True, enforceSchema=True)
-    rows = rows.withColumn("row_no", F.monotonically_increasing_id() + 1)
+    rows = _numbered(rows)
     header = (F.lower(F.trim("content")) == "content") & (F.lower(F.trim(F.coalesce("category", F.lit("category")))) == "category")
     kept = rows.where((F.trim("content") != "") & ~header)
     return kept.select("row_no", "content", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(category)).alias("category"))

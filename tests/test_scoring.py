@@ -68,3 +68,16 @@ def test_semantic_join_takes_every_left_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.query, r.found) for r in queries()["semantic_join"](spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a in range(0, 90, 2) for b in range(1, 90, 2) if a % 3 == b % 3}
+
+
+def test_rounding_by_the_exact_value(spark):
+    import random
+
+    from tessera.functions.numbers import round_places
+
+    rng = random.Random(3)
+    values = [0.12345, 0.12355, 0.00005, 0.00015, 0.03125, 0.09375, 0.5, 0.0, 1.0, -0.00005, -0.12345, 2.00005, None] + [k / 100000 for k in range(5, 100000, 970)] + [rng.random() for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", round_places(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [None if x is None else round(x, 4) for x in values]
+    tag = s.high_risk_reasons({k: F.lit(0.5) for k in ("json_valid", "intent_score", "memory_precision", "memory_recall", "speaker_attribution", "summary_score", "other", "hallucination_penalty")}, F.lit("length"))
+    assert spark.range(1).select(tag.alias("t")).first().t == ["json_invalid", "intent_low", "truncated", "memory_precision", "memory_recall", "speaker_attribution", "summary_score", "other", "hallucination_high"]

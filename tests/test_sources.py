@@ -29,6 +29,25 @@ def test_tolerant_dump_and_window(spark, tmp_path):
         readers.dump(spark, path, least=9)
 
 
+def test_numbers_are_dense_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, k in (("b", 3), ("a", 400), ("c", 90)):
+        _file(tmp_path / "d", name + ".jsonl", "".join(json.dumps({"id": i, "student": name * (i % 50)}) + "\n" for i in range(k)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.lines(spark, str(tmp_path / "d"))
+        assert rows.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path / "d")).rdd.getNumPartitions() > 5
+        got = rows.orderBy("row_no").collect()
+        assert [r.row_no for r in got] == list(range(1, 494)) and [json.loads(r.value)["id"] for r in got] == [*range(400), *range(3), *range(90)]
+        assert readers.window(readers.dump(spark, str(tmp_path / "d")), 350, 100).count() == 100
+        (tmp_path / "d" / "b.jsonl").write_text('{"id": 1}\nno\n')
+        with pytest.raises(ValueError, match="line 402"):
+            readers.jsonl(spark, str(tmp_path / "d"), readers.DUMP, strict=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_series_and_plan(spark, tmp_path):
     from pyspark.sql import types as T
 
