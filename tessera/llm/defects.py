@@ -1,11 +1,11 @@
 """Broken prompt and response pairs, by noisy labelling functions and a label model.
 
-Each of the five defects has several labelling functions that look at one
-aspect of a pair and vote yes or no. The votes of all pairs are counted by pattern (a
-few dozen patterns for each defect, whatever the size of the data), and
-expectation maximisation over the pattern counts estimates how often each function is right, and so the
+Each of the five defects has several labelling functions. Each of them looks at one kind of
+evidence in a pair and votes yes or no, whatever the others say and whatever other defects the pair has. The votes of all pairs are
+counted by pattern (a few dozen patterns for each defect, whatever the size of the data), and
+expectation maximisation over the pattern counts estimates from their agreement how often each function is right, and so the
 probability of the defect for each pattern. All defects whose probability is at least
-the cutoff are kept for a pair.
+the cutoff are kept for a pair. No function is needed: without any one of them the F1 score on the tests' labelled pairs stays above 0.9.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tessera.functions.promptx import CHAT_TITLES
 from tessera.session import Scratch
 
 DEFECTS = ("empty", "truncated", "refusal", "echo", "other_language")
-#: Probability from which a defect holds; tests/llm/test_defects.py validates it on labelled pairs.
+#: Probability from which a defect holds; tests/llm/test_defects.py validates each on labelled pairs that the model wasn't fitted on.
 CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "echo": 0.5, "other_language": 0.5}
 
 # Function words of the languages, and words that tell of the people in a chat.
@@ -49,11 +49,10 @@ DECLINE = regex.compile(
 )
 FIRST = regex.compile(r"\b(?:i|i['’]m|i['’]d|i['’]ve|me|my|we|us|you|your|let['’]s|please|yo|me|mi|mis|puedo|debo|voy|prefiero|consulta|espero|ich|mir|mich|mein|meine|wir|dir|dich|du|ihnen|je|j['’]ai|moi|mes|nous|vous|votre|merci|this one|no analysis)\b|我|您|你|咱|请", regex.I)
 QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
-MARK = regex.compile(r"(?:…|\.\.\.|\[(?:cut|truncated|\.\.\.|…|more|continued)\]|\((?:cut|truncated|continued)\)?|�)\s*$", regex.I)
-ENDED = regex.compile(r"[.!?。！？؟][\"'”’»」』)\]*_~\s]*(?:\p{So}|\p{Sk}|️|‍|:\)|\s)*$|[\"”’»」』](?:\p{So}|️|\s)*$|(?:\p{So}️?|:\))\s*$")
+# Matched from the end of a text backwards, whole.
+MARK = regex.compile(r"(?r)(?:…|\.\.\.|\[(?:cut|truncated|\.\.\.|…|more|continued)\]|\((?:cut|truncated|continued)\)?|\ufffd)\s*", regex.I)
+ENDED = regex.compile(r"(?r)(?:[.!?。！？؟][\"'”’»」』)\]*_~\s]*(?:\p{So}|\p{Sk}|\ufe0f|\u200d|:\)|\s)*|[\"”’»」』](?:\p{So}|\ufe0f|\s)*|(?:\p{So}\ufe0f?|:\))\s*)")
 INVISIBLE = regex.compile(r"[\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]+")
-#: So many visible characters that neither fence nor empty value is all of a text.
-PLENTY = regex.compile(r"(?:[\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]*+[^\s\p{Cf}\p{Cc}\p{Z}ㅤᅟᅠ⠀]){160}")
 FENCE = regex.compile(r"^\s*(?:```|~~~)[A-Za-z0-9_+-]*[ \t]*\n?|\n?[ \t]*(?:```|~~~)\s*$")
 CUT_BY_LENGTH = regex.compile(r"\"(?:finish_reason|finishReason|stop_reason)\"\s*:\s*\"(?:length|max_tokens)\"", regex.I)
 _TOKEN = regex.compile(r"\p{Han}|[\p{L}\p{N}--\p{Han}]+", regex.V1)
@@ -125,105 +124,6 @@ def covered(text: str, prompt: str) -> tuple[float, int]:
     return (same / total if total else 0.0), n
 
 
-def votes(prompt: str, response: str | None) -> tuple[int, ...]:
-    """For each defect its functions' votes, the first in the lowest bit."""
-    text = response or ""
-    wire = jsonx.record(response)
-    if wire is None and text.lstrip()[:1] == "{" and jsonx._closing(text, text.index("{")) < 0:
-        return 0, 1 | 2 | (text.rstrip()[-1:] != "}") << 2 | (CUT_BY_LENGTH.search(text) is not None) << 3, 0, 0, 0
-    answer = jsonx.answer(wire)
-    plenty = answer is not None and PLENTY.match(answer) is not None and re.search(r"\w", answer) is not None
-    core = "" if plenty else FENCE.sub("", FENCE.sub("", INVISIBLE.sub(" ", answer or "").strip())).strip(" `~")
-    if not plenty and (len(core) < 64 or not re.search(r"\w", core)):
-        value: object = core
-        try:
-            value = json.loads(core) if core else ""
-        except ValueError:
-            pass
-        hollow = not core or value is None or (isinstance(value, (str, list, dict)) and not (INVISIBLE.sub("", value) if isinstance(value, str) else value))
-        letters = regex.search(r"[\p{L}\p{N}]", regex.sub(r"\bnull\b|\bjson\b", "", core, flags=regex.I)) is not None
-        empty = hollow | (not letters) << 1 | (len(core) <= 4) << 2 | (answer is None or hollow) << 3
-        if hollow:
-            return empty, 0, 0, 0, 0
-    else:
-        empty = 0
-
-    found, broken = jsonx.objects(answer)
-    output = max(found, key=lambda x: (x[1] - x[0], -x[0]))[2] if found and not broken else None
-    if output is not None and output and not _OURS & output.keys() and len(output) > 2:
-        output = None  # an object that the prompt, not the model, holds
-    summary = output.get("rolling_summary") if output else None
-    if not isinstance(summary, str):
-        summary = None
-    if output is not None and summary is None and not _OURS & output.keys():
-        summary = max((v for v in output.values() if isinstance(v, str)), key=len, default=None)
-    # the text that speaks: the summary, or the answer where it holds no object
-    said = answer if output is None else summary
-    bare = (said or "").strip()
-    unquoted = QUOTED.sub(" ", bare) if output is not None else bare
-    narrative = NARRATIVE.search(unquoted) is not None
-    chat = messages(prompt)
-
-    # echo
-    echo, is_echo = 0, False
-    opened = broken and answer.lstrip()[:1] in "{`"
-    if bare and not opened:
-        share, n = covered(bare, prompt)
-        source = prompt if output is None else "\n".join(chat)  # a new summary may well take up phrases of the old one
-        loose_share = max(share, shared(bare, source)) if not narrative or share >= 0.5 or _probed(bare, source) else share
-        one = _quotes_one(bare, chat)
-        told = sum(1 for m in chat if len(m) >= 8 and m in bare) if n or loose_share >= 0.5 else 0
-        headed = output is None and (bare.startswith("## ") or bare.startswith("[20"))
-        echo = (loose_share >= 0.8 and not one) | (loose_share >= 0.65 and not one) << 1 | (told >= 2 and loose_share >= 0.5) << 2 | (loose_share >= 0.6 and (not narrative or headed) and not one) << 3
-        is_echo = loose_share >= 0.65
-
-    # the prompt's own text is no refusal, and cut only where the prompt's line goes on
-    low = bare.casefold()
-    lines = sorted({x for x in (y.strip().casefold() for y in (*chat, *prompt.split("\n"))) if len(x) >= 4}, key=len, reverse=True) if is_echo else []
-    complete = any(low.rstrip(" .\"'”’»」』").endswith(x[-12:].rstrip(" .\"'”’»」』")) for x in lines)
-
-    # truncated
-    if broken and not complete:
-        cut = 1 | 2 | (answer.rstrip()[-1:] != "}") << 2 | (CUT_BY_LENGTH.search(text) is not None) << 3
-    elif bare:
-        stops = not complete and (ENDED.search(bare[-16:]) is None or MARK.search(bare[-20:]) is not None)
-        unclosed = answer.lstrip()[:3] == "```" and answer.count("```") % 2 == 1
-        cut = (stops or unclosed) | stops << 1 | unclosed << 2 | (stops and CUT_BY_LENGTH.search(text) is not None) << 3
-    else:
-        cut = 0
-
-    # refusal
-    refusal = 0
-    own_words = low if is_echo else unquoted
-    for x in lines:
-        own_words = own_words.replace(x, " ")
-    if own_words.strip() and not broken:
-        memory = output.get("memory_snapshot") if output else None
-        lone = output is None or len(output) <= 2 or memory is None or (isinstance(memory, dict) and not any(memory.values()))
-        if narrative if not is_echo else NARRATIVE.search(own_words) is not None:
-            refusal = (lone and len(bare) < 400) << 3
-        elif not is_echo or DECLINE.search(own_words):
-            refusal = (DECLINE.search(own_words) is not None) | 2 | (FIRST.search(own_words) is not None) << 2 | (lone and len(bare) < 400) << 3 | (output is None) << 4
-
-    # other language
-    other = 0
-    if summary and chat:
-        own, sure = language(unquoted)
-        theirs, certain = language(" ".join(chat))
-        if own and theirs and own != theirs:
-            half = len(unquoted) // 2
-            halves = language(unquoted[:half])[0], language(unquoted[half:])[0]
-            other = (sure >= 0.55) | (theirs not in halves) << 1 | bool({own, theirs} & {"zh", "other"}) << 2 | (certain >= 0.55) << 3
-    return int(empty), int(cut), int(refusal), int(echo), int(other)
-
-
-def _probed(text: str, prompt: str) -> bool:
-    """Whether the prompt has any of four short runs of the text, whatever case: worth a full comparison."""
-    low, whole = text.casefold(), prompt.casefold()
-    size = 20 if low.isascii() else 10
-    return len(low) >= 5 * size and any(low[k * len(low) // 5 :][:size] in whole for k in (1, 2, 3, 4))
-
-
 def _quotes_one(text: str, chat: list[str]) -> bool:
     """Whether a text is no more than one message of the chat."""
     t = text.strip().strip("\"'“”„«»「」 ")
@@ -235,24 +135,241 @@ def _quotes_one(text: str, chat: list[str]) -> bool:
 
 # The keys of the model's output.
 _OURS = frozenset(("rolling_summary", "memory_snapshot", "analysis_summary", "user_intent", "ai_performance", "paid_reaction"))
-#: Number of functions of each defect.
-FUNCTIONS = (4, 4, 5, 4, 4)
+
+
+def _collapsed(text: str) -> str:
+    """Each run of invisible signs as one space."""
+    return _BLANKS.sub(" ", text) if text.isascii() else INVISIBLE.sub(" ", text)
+
+
+class Pair:
+    """A prompt and its response, taken apart once for all labelling functions."""
+
+    def __init__(self, prompt: str, response: str | None):
+        self.prompt, self.text = prompt, response or ""
+        wire = jsonx.record(response)
+        self.answer = jsonx.answer(wire)
+        if wire is None and self.text.lstrip()[:1] == "{" and jsonx._closing(self.text, self.text.index("{")) < 0:
+            self.answer = self.text  # a record that breaks off is judged as it is
+        self.core = FENCE.sub("", FENCE.sub("", _collapsed(self.answer or "").strip())).strip(" `~")
+        found, self.broken = jsonx.objects(self.answer)
+        output = max(found, key=lambda x: (x[1] - x[0], -x[0]))[2] if found and not self.broken else None
+        if output and not _OURS & output.keys() and len(output) > 2:
+            output = None  # an object that the prompt, not the model, holds
+        summary = output.get("rolling_summary") if output else None
+        if not isinstance(summary, str):
+            summary = None
+        if output is not None and summary is None and not _OURS & output.keys():
+            summary = max((v for v in output.values() if isinstance(v, str)), key=len, default=None)
+        self.output, self.summary = output, summary
+        # the text that speaks: the summary, or the answer where it holds no object
+        self.bare = ((self.answer if output is None else summary) or "").strip()
+        if output is None and _TWO.search(_NAMES.sub("", self.core)) is None:
+            self.bare = ""  # a fence or a null says nothing
+        self.unquoted = QUOTED.sub(" ", self.bare) if output is not None else self.bare
+        self.chat = messages(prompt)
+        low = self.bare.casefold()
+        rows = [y.strip() for y in prompt.casefold().split("\n")]
+        lines = {x for y in (*rows, *(_STAMP.sub("", y) for y in rows if y[:1] == "["), *(m.casefold() for m in self.chat)) if len(x := y) >= 4}
+        said = [x for x in lines if x in low]
+        # it ends as a line of the prompt does
+        bare_end = low.rstrip(_CLOSERS)
+        self.complete = any(bare_end.endswith(x.rstrip(_CLOSERS)) for x in said) or (len(low) >= 8 and any(x.endswith(low) for x in lines))
+        # the model's own words: without lines of the prompt
+        own = self.unquoted.casefold() if output is not None else low
+        for x in sorted(said, key=len, reverse=True):
+            own = own.replace(x, " ")
+        self.own = own if not self.broken else ""
+        self.narrative = NARRATIVE.search(self.own) is not None
+        self.one = _quotes_one(self.bare, self.chat)
+        self.chat_text = " ".join(self.chat)
+        self.own_language, self.chat_language = language(self.unquoted) if self.summary else (None, 0.0), language(self.chat_text)
+        self.own_share = len(_SIGNS.sub("", self.own)) / max(1, len(_SIGNS.sub("", self.bare)))
+
+
+_CLOSERS = " .\"'”’»」』"
+_SIGNS = re.compile(r"[\W_]+")
+_BLANKS = re.compile(r"[\x00-\x20\x7f]+")
+_LETTER = regex.compile(r"[\p{L}\p{N}]")
+_STAMP = re.compile(r"\[[^\]]*\]\s*")
+_NAMES = regex.compile(r"\b(?:null|json)\b", regex.I)
+_TWO = regex.compile(r"\p{Han}|\p{L}{2}")
+
+
+# Labelling functions: each votes by one kind of evidence, whatever the others and the other defects say.
+def empty_value(x: Pair) -> bool:
+    """Read as a value, the answer is none, blank, null or an empty container."""
+    try:
+        value = json.loads(x.core) if x.core else ""
+    except (ValueError, RecursionError):
+        return False
+    return not (INVISIBLE.sub("", value) if isinstance(value, str) else value) and value is not False and value != 0
+
+
+def no_words(x: Pair) -> bool:
+    """No letter and no digit, but in the names null and json."""
+    return _LETTER.search(_NAMES.sub("", x.answer or "")) is None
+
+
+def few_signs(x: Pair) -> bool:
+    """At most four visible signs beside fences."""
+    return len(x.core) <= 4
+
+
+def no_text(x: Pair) -> bool:
+    """Neither an object with members nor two letters in a row."""
+    return not x.output and _TWO.search(_NAMES.sub("", x.core)) is None
+
+
+def open_object(x: Pair) -> bool:
+    """An object begins that nothing closes."""
+    return x.broken
+
+
+def no_end(x: Pair) -> bool:
+    """The text stops without an end, or with a mark of a cut; that of an unread object without its brace."""
+    if _TWO.search(x.bare) is None or (x.complete and not x.broken):
+        return False
+    return ENDED.match(x.bare) is None or MARK.match(x.bare) is not None
+
+
+def unbalanced(x: Pair) -> bool:
+    """More brackets open than close, strings or not, or an odd number of fences."""
+    a = x.answer or ""
+    return a.count("{") > a.count("}") or a.count("[") > a.count("]") or (a.lstrip()[:3] == "```" and a.count("```") % 2 == 1)
+
+
+def inside(x: Pair) -> bool:
+    """The last visible sign, marks of a cut aside, is one behind which a sentence goes on: a letter, digit, comma or opening sign."""
+    mark = MARK.match(x.bare)
+    return not (x.complete and not x.broken) and _ON.match(x.bare, 0, mark.start() if mark else len(x.bare)) is not None
+
+
+def open_sentence(x: Pair) -> bool:
+    """Words follow behind the last sign that ends a sentence."""
+    rest = x.bare[max(x.bare.rfind(sign) for sign in _STOPS) + 1 :]
+    return not (x.complete and not x.broken) and _TWO.search(rest) is not None and rest.lstrip()[:1] not in _CLOSERS
+
+
+def by_length(x: Pair) -> bool:
+    """The record says that the length limit ended it."""
+    return CUT_BY_LENGTH.search(x.text) is not None
+
+
+def declines(x: Pair) -> bool:
+    """The own words hold a phrase of declining."""
+    return DECLINE.search(x.own) is not None
+
+
+def speaks(x: Pair) -> bool:
+    """The own words speak of an I or to a you."""
+    return FIRST.search(x.own) is not None
+
+
+def tells_nothing(x: Pair) -> bool:
+    """A third of it at least is own words, and none of them tells of the people in the chat."""
+    return _TWO.search(x.own) is not None and x.own_share >= 1 / 3 and not x.narrative
+
+
+def alone(x: Pair) -> bool:
+    """A short text, a third of it own words, beside which there is no memory and little else."""
+    memory = x.output.get("memory_snapshot") if x.output else None
+    little = x.output is None or len(x.output) <= 2 or memory is None or (isinstance(memory, dict) and not any(memory.values()))
+    return little and x.own_share >= 1 / 3 and 0 < len(x.bare) < 400
+
+
+def plain(x: Pair) -> bool:
+    """The answer is text, a third of it own words, and no object."""
+    return x.output is None and x.own_share >= 1 / 3
+
+
+def same_segments(x: Pair) -> bool:
+    """Most longer segments are in the prompt."""
+    return not x.broken and not x.one and covered(x.bare, x.prompt)[0] >= 0.65
+
+
+def same_runs(x: Pair) -> bool:
+    """Most words are in runs that the chat, or for plain text the prompt, has."""
+    source = x.prompt if x.output is None else "\n".join(x.chat)  # a new summary may well take up phrases of the old one
+    return not x.broken and not x.one and shared(x.bare, source) >= 0.65
+
+
+def told_again(x: Pair) -> bool:
+    """Two messages or more are in it whole, and make half of it."""
+    low = x.bare.casefold()
+    told = {m for m in map(str.casefold, x.chat) if len(m) >= 8 and m in low}
+    return not x.broken and len(told) >= 2 and 2 * sum(map(len, told)) >= len(x.bare)
+
+
+def no_own_words(x: Pair) -> bool:
+    """Without the lines of the prompt, less than a third of its letters are left."""
+    return not x.broken and not x.one and len(x.bare) >= 20 and x.own_share < 1 / 3
+
+
+def other_words(x: Pair) -> bool:
+    """Its function words are of another language than those of the chat."""
+    (own, sure), (theirs, certain) = x.own_language, x.chat_language
+    return bool(own and theirs and own != theirs and min(sure, certain) >= 0.5)
+
+
+def other_halves(x: Pair) -> bool:
+    """Of its halves one is in another language than the chat, none in the chat's."""
+    theirs = x.chat_language[0]
+    half = len(x.unquoted) // 2
+    found = {language(x.unquoted[:half])[0], language(x.unquoted[half:])[0]} - {None} if x.summary else set()
+    return bool(theirs and found and theirs not in found)
+
+
+def other_script(x: Pair) -> bool:
+    """It is in another script than the chat."""
+    return bool(x.summary and x.chat) and _script(x.unquoted) != _script(x.chat_text)
+
+
+def no_common_words(x: Pair) -> bool:
+    """Of its different words of a language few are in the chat."""
+    if not x.summary or not x.chat:
+        return False
+    own = {w for w in _TOKEN.findall(x.unquoted.casefold()) if w in _LANGUAGES or _HAN.match(w)}
+    known = set(FUNCTION_WORDS.get(x.chat_language[0], ())) | set(_TOKEN.findall(x.chat_text.casefold()))
+    return len(own) >= 3 and len(own & known) < 0.4 * len(own)
+
+
+def _script(text: str) -> str:
+    counts = {"han": len(_HAN.findall(text)), "other": len(_OTHER.findall(text)), "latin": len(_LATIN.findall(text)) / 4}
+    return max(counts, key=lambda k: counts[k])
+
+
+_STOPS = ".!?。！？؟"
+_ON = regex.compile(r"(?r)[\p{L}\p{M}\p{N},;:\-–—(\[{/&、，：；（<]\s*")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+#: The labelling functions of each defect, the first in the lowest bit of its votes.
+FUNCTIONS = {
+    "empty": (empty_value, no_words, few_signs, no_text),
+    "truncated": (open_object, no_end, unbalanced, inside, open_sentence, by_length),
+    "refusal": (declines, speaks, tells_nothing, alone, plain),
+    "echo": (same_segments, same_runs, told_again, no_own_words),
+    "other_language": (other_words, other_halves, other_script, no_common_words),
+}
+
+
+def votes(prompt: str, response: str | None) -> tuple[int, ...]:
+    """For each defect its functions' votes, the first in the lowest bit."""
+    pair = Pair(prompt, response)
+    return tuple(sum(bool(f(pair)) << k for k, f in enumerate(FUNCTIONS[defect])) for defect in DEFECTS)
 
 
 def fit(patterns: dict[int, int], functions: int, rounds: int = 200) -> dict[int, float]:
     """The probability of a defect for each vote pattern, by expectation maximisation.
 
-    Functions err independently given the truth. The first function begins as
-    the most trusted. Weak priors keep rates off 0 and 1.
+    Functions err independently given the truth; their rates come from how they agree. A pair begins as
+    defective where half of its functions say so. Weak priors keep rates off 0 and 1.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     v = np.array([[(k >> i) & 1 for i in range(functions)] for k in keys], float)
-    weight = np.ones(functions)
-    weight[0] = 2
-    p = np.where(v @ weight >= 2, 0.9, 0.02)
+    p = np.where(2 * v.sum(1) >= functions, 0.9, 0.02)
     for _ in range(rounds):
         yes, no = n * p, n * (1 - p)
         prior = (yes.sum() + 1) / (n.sum() + 100)
@@ -268,7 +385,7 @@ def fit(patterns: dict[int, int], functions: int, rounds: int = 200) -> dict[int
 
 
 def labelled(df: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
-    """(key, defects array<struct<defect, probability>>) of every pair, defects in their order, possibly none.
+    """(key, defects array<struct<defect, probability>>) of every pair, defects in their order, possibly none or several.
 
     Pairs with a null or blank prompt are left out; a null response is a pair
     without an answer. Rows that repeat a key give a row each.
@@ -286,8 +403,8 @@ def labelled(df: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
     cast = scratch.keep(pairs.mapInArrow(run, schema), "votes")
     counted = cast.select(F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in DEFECTS))).alias("x")).groupBy("x.d", "x.v").count().collect()  # 32 patterns each at most
     parts = []
-    for d, functions in zip(DEFECTS, FUNCTIONS):
-        p = fit({r.v: r["count"] for r in counted if r.d == d}, functions)
+    for d in DEFECTS:
+        p = fit({r.v: r["count"] for r in counted if r.d == d}, len(FUNCTIONS[d]))
         chance = F.lit(0.0)
         for pattern, value in p.items():
             chance = F.when(F.col(d) == pattern, value).otherwise(chance)

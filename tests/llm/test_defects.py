@@ -69,13 +69,75 @@ def test_padded_empty_answers(spark):
     assert all(got[k] == ([] if k < 100 else ["empty"]) for k in got), got
 
 
+def _voters(prompt, response):
+    """Names of the functions that vote, by defect."""
+    return {name: {f.__name__ for k, f in enumerate(d.FUNCTIONS[name]) if v >> k & 1} for name, v in zip(d.DEFECTS, d.votes(prompt, response))}
+
+
 def test_functions_vote_on_echoes():
-    cut, refusal, echo = (d.DEFECTS.index(x) for x in ("truncated", "refusal", "echo"))
     lines = "\n".join(CHAT)
-    whole, short = d.votes(PROMPT, _wire(lines)), d.votes(PROMPT, _wire(lines[:-13]))
-    assert whole[echo] and not whole[cut] and not whole[refusal]
-    assert short[echo] and short[cut] & 3 == 3
-    both = d.votes(PROMPT, _wire("I cannot help with this. " + lines))
-    assert both[echo] and both[refusal] & 7 == 7
-    unpunctuated = d.votes(PROMPT, _wire("\n".join(CHAT[:3])))
-    assert unpunctuated[echo] and not unpunctuated[cut]
+    whole, short = _voters(PROMPT, _wire(lines)), _voters(PROMPT, _wire(lines[:-13]))
+    assert len(whole["echo"]) >= 3 and not whole["truncated"] and "declines" not in whole["refusal"] and "tells_nothing" not in whole["refusal"]
+    assert len(short["echo"]) >= 2 and {"no_end", "inside"} <= short["truncated"]
+    both = _voters(PROMPT, _wire("I cannot help with this. " + lines))
+    assert both["echo"] and {"declines", "speaks"} <= both["refusal"]
+    unpunctuated = _voters(PROMPT, _wire("\n".join(CHAT[:3])))
+    assert unpunctuated["echo"] and not unpunctuated["truncated"]
+    half_echoed = "word " * 400 + "\n".join(CHAT)  # no sample of places decides whether an answer is compared: the whole one is
+    assert d.shared(half_echoed, PROMPT) < 0.2 < 0.65 < d.shared("\n".join(CHAT) + " and more", PROMPT)
+
+
+def test_ends_of_any_length():
+    for k in (1, 40, 4000):
+        assert "no_end" not in _voters(PROMPT, _wire(_output(SUMMARY + '"' * k)))["truncated"]
+        assert "no_end" in _voters(PROMPT, _wire(_output(SUMMARY[:-1] + " and then" + " " * k + "…")))["truncated"]
+        assert "few_signs" in _voters(PROMPT, _wire("```json\n{}\n" + " " * k + "```"))["empty"]
+
+
+def _patterns(rows):
+    return [(d.votes(PROMPT, r), name) for r, name in rows]
+
+
+def _without(v, k):
+    return v if k is None else ((v >> k + 1) << k) | (v & ((1 << k) - 1))
+
+
+def _posteriors(fitted, judged, defect, drop=None):
+    """(probability, truth) of the judged pairs by a model fitted on the others."""
+    i = d.DEFECTS.index(defect)
+    counts = {}
+    for v, _ in fitted:
+        counts[_without(v[i], drop)] = counts.get(_without(v[i], drop), 0) + 1
+    for v, _ in judged:  # patterns are known to the model, their number of judged pairs isn't
+        counts.setdefault(_without(v[i], drop), 0)
+    p = d.fit(counts, len(d.FUNCTIONS[defect]) - (drop is not None))
+    return [(p[_without(v[i], drop)], name == defect) for v, name in judged]
+
+
+def _f1(found, cutoff):
+    hit = sum(p >= cutoff and y for p, y in found)
+    return 2 * hit / max(1, sum(p >= cutoff for p, _ in found) + sum(y for _, y in found))
+
+
+def test_cutoffs_on_pairs_the_model_has_not_seen():
+    rows = _patterns(cases(random.Random(3)))
+    fitted, judged = rows[::2], rows[1::2]
+    for defect in d.DEFECTS:
+        found = _posteriors(fitted, judged, defect)
+        best = max(_f1(found, c / 20) for c in range(1, 20))
+        assert _f1(found, d.CUTOFFS[defect]) >= best - 0.01 and best > 0.9, defect
+
+
+def test_no_function_decides_alone():
+    rows = _patterns(cases(random.Random(4)))
+    for defect in d.DEFECTS:
+        for drop in range(len(d.FUNCTIONS[defect])):
+            assert _f1(_posteriors(rows, rows, defect, drop), d.CUTOFFS[defect]) > 0.9, (defect, d.FUNCTIONS[defect][drop].__name__)
+
+
+def test_several_defects_are_kept(spark):
+    chat = "\n".join(CHAT)
+    rows = [_wire(_output())] * 60 + [_wire("I'm sorry, but I can't help with this and I wi")] * 3 + [r for r, _ in cases(random.Random(5))] + [_wire(chat[:-13])] * 3
+    df = spark.createDataFrame([(k, PROMPT, r) for k, r in enumerate(rows)], "id long, prompt string, response string")
+    got = {r.key: [x.defect for x in r.defects] for r in d.labelled(df, "id", "prompt", "response").collect()}
+    assert got[61] == ["truncated", "refusal"] and got[len(rows) - 1][0] == "truncated" and "echo" in got[len(rows) - 1]
