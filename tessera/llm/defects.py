@@ -308,15 +308,15 @@ def no_own_words(x: Pair) -> bool:
 
 def other_words(x: Pair) -> bool:
     """Its function words are of another language than those of the chat."""
-    (own, sure), (theirs, certain) = x.own_language, x.chat_language
-    return bool(own and theirs and own != theirs and min(sure, certain) >= 0.5)
+    (own, sure), theirs = x.own_language, x.chat_language[0]
+    return bool(own and theirs and own != theirs and sure >= 0.5)
 
 
 def other_halves(x: Pair) -> bool:
-    """Of its halves one is in another language than the chat, none in the chat's."""
+    """Neither of its halves is in the chat's language; the whole stands for halves that tell none."""
     theirs = x.chat_language[0]
     half = len(x.unquoted) // 2
-    found = {language(x.unquoted[:half])[0], language(x.unquoted[half:])[0]} - {None} if x.summary else set()
+    found = {language(x.unquoted[:half])[0], language(x.unquoted[half:])[0]} - {None} or {x.own_language[0]} - {None} if x.summary else set()
     return bool(theirs and found and theirs not in found)
 
 
@@ -331,7 +331,7 @@ def no_common_words(x: Pair) -> bool:
         return False
     own = {w for w in _TOKEN.findall(x.unquoted.casefold()) if w in _LANGUAGES or _HAN.match(w)}
     known = set(FUNCTION_WORDS.get(x.chat_language[0], ())) | set(_TOKEN.findall(x.chat_text.casefold()))
-    return len(own) >= 3 and len(own & known) < 0.4 * len(own)
+    return len(own) >= 2 and len(own & known) < 0.4 * len(own)
 
 
 def _script(text: str) -> str:
