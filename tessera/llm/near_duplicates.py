@@ -7,9 +7,10 @@ so order does not count). Steps, each a distributed pass:
 2. ``document_frequency``: counts over all records, in a table of fixed size (2**17 hashed
    slots), so what is broadcast does not grow with the data.
 3. ``signatures``: 7 x 32 consistent weighted samples of sqrt(tf) * idf, folded to 32 band keys.
-4. ``candidates``: one shuffle by band key; all pairs in a bucket of up to 64 distinct bags,
-   neighbours and a star in a larger one, whose pairs over different components follow in ``strays``.
-5. ``verified``: exact weighted Jaccard on the word counts.
+4. ``candidates``: one shuffle by band key; in every bucket, whatever its size, neighbours and a star of the least row,
+   then in ``strays`` all pairs over the components that these links leave.
+5. ``bounded``: pairs that a histogram of 64 bytes shows to have too few words in common are left out, without loss;
+   ``verified``: exact weighted Jaccard on the word counts.
 6. Components of the verified links.
 """
 
@@ -28,13 +29,11 @@ from tessera.session import Scratch
 BANDS, ROWS = 32, 7
 SAMPLES = BANDS * ROWS
 SLOTS = 1 << 17
-BUCKET = 64
 #: Bounds of a word's inverse document frequency. Words of a family that holds a third of all rows
 #: would weigh next to nothing without the lower one, and a few changed words all without the upper one.
 LEAST_IDF, MOST_IDF = 1.0, 3.0
-#: Of 128 sample bits of a pair at least so many agree; at a weighted Jaccard similarity of 0.7,
-#: the least seen at an overlap of 0.85, 109 do on average, with a deviation of 4.
-AGREE = 88
+#: Parts of a bag's histogram: the words of two bags that fall into a part, the fewer of both, bound the words in common.
+PARTS = 64
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +147,7 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(feats: DataFrame, df: np.ndarray, rows: int) -> DataFrame:
-    """key, f1, f2, n, s1, s2 (128 sample bits), bands."""
+    """key, f1, f2, n, h (PARTS bytes: how many words are in each part of the hash space, 255 for as many or more), bands."""
     idf = feats.sparkSession.sparkContext.broadcast(np.clip(np.log(max(rows, 1) / np.maximum(df, 1)), LEAST_IDF, MOST_IDF).astype(np.float32))
 
     def run(batches):
@@ -159,28 +158,45 @@ def signatures(feats: DataFrame, df: np.ndarray, rows: int) -> DataFrame:
                 w, c = batch.column("w"), batch.column("c")
                 starts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(w).to_numpy())[:-1]]).astype(np.int64)
                 signature = sampler.signatures(w.flatten().to_numpy(), c.flatten().to_numpy(), starts)
-                bits = np.packbits((signature[:, :128] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                flat, length = w.flatten().to_numpy(), pa.compute.list_value_length(w).to_numpy()
+                part = np.repeat(np.arange(batch.num_rows), length) * PARTS + (flat.view(np.uint64) >> np.uint64(40)).astype(np.int64) % PARTS
+                parts = np.minimum(np.bincount(part, c.flatten().to_numpy(), batch.num_rows * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x) for x in ("key", "f1", "f2", "n")), pa.array(bits[:, 0]), pa.array(bits[:, 1]), _lists(list(_bands(signature)), pa.int64())],
-                    names=["key", "f1", "f2", "n", "s1", "s2", "bands"],
+                    [*(batch.column(x) for x in ("key", "f1", "f2", "n")), pa.array([x.tobytes() for x in parts], pa.binary()), _lists(list(_bands(signature)), pa.int64())],
+                    names=["key", "f1", "f2", "n", "h", "bands"],
                 )
 
-    return feats.mapInArrow(run, "key long, f1 long, f2 long, n int, s1 long, s2 long, bands array<long>")
+    return feats.mapInArrow(run, "key long, f1 long, f2 long, n int, h binary, bands array<long>")
 
 
-def _alike(n1, n2, a1, a2, b1, b2, percent):
-    """Whether counts and sample bits allow a pair to be near-same."""
-    agree = 128 - np.bitwise_count((a1 ^ b1).view(np.uint64)).astype(np.int64) - np.bitwise_count((a2 ^ b2).view(np.uint64))
-    return (np.minimum(n1, n2).astype(np.int64) * 100 >= percent * np.maximum(n1, n2)) & (agree >= AGREE)
+def _alike(n1, n2, percent):
+    """Whether the numbers of words allow a pair to be near-same."""
+    return np.minimum(n1, n2).astype(np.int64) * 100 >= percent * np.maximum(n1, n2)
+
+
+def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose histograms allow percent of the larger one's words in common; loses no near-same pair."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(h).to_pylist()), np.uint8).reshape(-1, PARTS) for h in ("ha", "hb"))
+            least = np.minimum(x, y)
+            most = least.astype(np.int64).sum(1) + np.where((least == 255).any(1), 1 << 40, 0)
+            larger = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()).astype(np.int64)
+            ok = pa.array(most * 100 >= percent * larger)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    side = lambda s: reps.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("h").alias(f"h{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """(hot, a, b): pairs a < b, and for each row of a bucket of over BUCKET rows (true, row, band key)."""
+    """(hot, a, b): pairs a < b of neighbours in a bucket and of its least row with each, and for each row of a bucket of more than two (true, row, band key)."""
 
     def run(batches):
         keep = None  # the rows of the last bucket, that may go on; of a large one the first and the last
         large = False
-        names = ("band", "key", "n", "s1", "s2")
+        names = ("band", "key", "n")
         for batch in batches:
             x = {k: batch.column(k).to_numpy() for k in names}
             carried = 0
@@ -194,22 +210,18 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             begin = np.nonzero(first)[0]
             length = np.diff(np.append(begin, len(band)))
             bucket = np.cumsum(first) - 1
-            hot = (length > BUCKET) | ((np.arange(len(length)) == 0) & large & (carried > 0))
+            hot = (length > 2) | ((np.arange(len(length)) == 0) & large & (carried > 0))
             is_hot = hot[bucket]
             left, right = [], []
 
             def take(i, j):
-                ok = _alike(x["n"][i], x["n"][j], x["s1"][i], x["s2"][i], x["s1"][j], x["s2"][j], percent)
+                ok = _alike(x["n"][i], x["n"][j], percent)
                 left.append(key[i][ok]), right.append(key[j][ok])
 
-            for d in range(1, BUCKET):
-                i = np.nonzero((band[d:] == band[:-d]) & ((d == 1) | ~is_hot[d:]))[0]
-                if not len(i):
-                    break
-                take(i, i + d)
-            if is_hot.any():
-                i = np.nonzero(is_hot)[0]
-                take(begin[bucket[i]], i)
+            i = np.nonzero(~first[1:])[0]
+            take(i, i + 1)
+            i = np.nonzero(is_hot)[0]
+            take(begin[bucket[i]], i)
             rows = np.nonzero(is_hot & (np.arange(len(band)) >= (carried if large else 0)))[0]
             a, b = np.concatenate([*left, key[:0]]), np.concatenate([*right, key[:0]])
             ok = a != b
@@ -224,12 +236,12 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             at = [begin[-1], len(band) - 1] if large else slice(begin[-1], None)
             keep = {k: x[k][at] for k in names}
 
-    bands = reps.select(F.explode("bands").alias("band"), "key", "n", "s1", "s2")
+    bands = reps.select(F.explode("bands").alias("band"), "key", "n")
     return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "hot boolean, a long, b long")
 
 
 def strays(hot: DataFrame, links: DataFrame, reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs of large buckets over different components.
+    """Pairs of buckets over different components.
 
     A bucket's main component is the one with most of its rows. Each row
     outside it meets all rows of the bucket; rows of the main component don't
@@ -240,11 +252,10 @@ def strays(hot: DataFrame, links: DataFrame, reps: DataFrame, scratch: Scratch,
     rows = scratch.keep(rows, "hot")
     sizes = rows.groupBy("band", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    marks = reps.select("key", "n", "s1", "s2")
+    marks = reps.select("key", "n")
     rows = rows.join(main, "band").join(marks, "key")
     x, y = rows.where("root <> main").alias("x"), rows.alias("y")
-    agree = 128 - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    ok = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (agree >= AGREE)
+    ok = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     return x.join(y, ok).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
@@ -290,14 +301,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, templ
     feats = scratch.keep(features(df, key, text, template), "features")
     frequency, rows = document_frequency(feats)
     signs = scratch.keep(signatures(feats, frequency, rows), "signatures")
-    reps = signs.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.count_distinct("key").alias("copies"), *(F.first(c).alias(c) for c in ("n", "s1", "s2", "bands")))
+    reps = signs.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.count_distinct("key").alias("copies"), *(F.first(c).alias(c) for c in ("n", "h", "bands")))
     reps = scratch.keep(reps, "reps")
     found = scratch.keep(candidates(reps, percent), "candidates")
-    links = scratch.keep(verified(found.where("not hot").select("a", "b").distinct(), feats, percent), "links")
+    links = scratch.keep(verified(bounded(found.where("not hot").select("a", "b").distinct(), reps, percent), feats, percent), "links")
     hot = found.where("hot").select(F.col("b").alias("band"), F.col("a").alias("key")).distinct()
     if not found.where("hot").isEmpty():
         more = strays(hot, links, reps, scratch, percent)
-        links = links.union(scratch.keep(verified(more, feats, percent), "strays"))
+        links = links.union(scratch.keep(verified(bounded(more, reps, percent), feats, percent), "strays"))
     roots = components(links.select("a", "b"), scratch)
     named = reps.join(roots, reps.key == roots.node, "left").where("root is not null or copies > 1")
     named = named.select("f1", "f2", F.coalesce("root", "key").alias("group_no"), F.col("key").alias("copies_of"))

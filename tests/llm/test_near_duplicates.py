@@ -81,11 +81,11 @@ def test_empty_table(spark):
 
 
 def test_hot_bucket_loses_no_link(spark):
-    """More rows in a bucket than are compared pair by pair: a large family and a small one that share it."""
-    n = 3 * nd.BUCKET
+    """A large family and a small one that share a bucket."""
+    n = 192
     bands = [5]
-    rows = [(k, 100, 0, 0, bands) for k in range(n)]
-    reps = spark.createDataFrame(rows, "key long, n int, s1 long, s2 long, bands array<long>")
+    rows = [(k, 100, bands) for k in range(n)]
+    reps = spark.createDataFrame(rows, "key long, n int, bands array<long>")
     found = nd.candidates(reps, 85).collect()
     assert {r.a for r in found if r.hot} == set(range(n))
     pairs = {(r.a, r.b) for r in found if not r.hot}
@@ -126,3 +126,18 @@ def test_words():
     assert same("Straße ＡＢＣ", "STRASSE abc") and same("a1b", "a b") and len(word_ids("我爱tea".encode(), v)) == 3
     assert bag([])[0].size == 0
     assert b"template" not in body_bytes(_prompt(["x"]).encode())
+
+
+def test_histograms_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    bags = []
+    for k in range(120):
+        base = rng.integers(-(2**62), 2**62, 40) if k % 3 == 0 else bags[-1][0]
+        words = np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(-(2**62), 2**62, len(base)), base))
+        bags.append((words, rng.choice([1, 2, 300], len(words), p=[0.7, 0.28, 0.02])))
+    feats = spark.createDataFrame([(k, k, 0, int(c.sum()), w.tolist(), c.tolist()) for k, (w, c) in enumerate(bags)], "key long, f1 long, f2 long, n int, w array<long>, c array<int>")
+    reps = nd.signatures(feats, np.ones(nd.SLOTS, np.int64), 120)
+    pairs = spark.createDataFrame([(a, b) for a in range(120) for b in range(a + 1, 120)], "a long, b long")
+    kept = nd.bounded(pairs, reps, 85)
+    near = {(r.a, r.b) for r in nd.verified(pairs, feats, 85).collect()}
+    assert len(near) > 10 and near <= {(r.a, r.b) for r in kept.collect()} and kept.count() < 2000
