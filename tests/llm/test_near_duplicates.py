@@ -133,8 +133,8 @@ def test_histograms_lose_no_pair(spark):
     bags = []
     for k in range(120):
         base = rng.integers(-(2**62), 2**62, 40) if k % 3 == 0 else bags[-1][0]
-        words = np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(-(2**62), 2**62, len(base)), base))
-        bags.append((words, rng.choice([1, 2, 300], len(words), p=[0.7, 0.28, 0.02])))
+        words = np.unique(np.where(rng.random(len(base)) < 0.05, rng.integers(-(2**62), 2**62, len(base)), base))
+        bags.append((words, np.where(words % 60 == 0, 300, 1 + words % 2)))
     feats = spark.createDataFrame([(k, k, 0, int(c.sum()), w.tolist(), c.tolist()) for k, (w, c) in enumerate(bags)], "key long, f1 long, f2 long, n int, w array<long>, c array<int>")
     reps = nd.signatures(feats, np.ones(nd.SLOTS, np.int64), 120)
     pairs = spark.createDataFrame([(a, b) for a in range(120) for b in range(a + 1, 120)], "a long, b long")
