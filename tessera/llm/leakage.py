@@ -155,7 +155,7 @@ class Items:
         self.where, self.places = (np.concatenate(x)[order] if x else np.empty(0, np.int64) for x in (where, places))
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, length, begin, end) of the items that a document contains; begin and end count its words."""
+        """(item, length, begin, end) of each passage of an item in a document, the longest first; begin and end count its words."""
         value = grams(ids)
         if not len(value) or not len(self.hashes):
             return []
@@ -171,9 +171,15 @@ class Items:
         doc = ids.tolist()
         out = []
         for item, hits in by.items():
-            length, begin, end = longest(self.ids[item], doc, hits)
-            if length >= self.least[item]:
+            rest = doc
+            while hits:
+                length, begin, end = longest(self.ids[item], rest, hits)
+                if length < self.least[item]:
+                    break
                 out.append((self.numbers[item], length, begin, end))
+                # the same item may be there again: look at what lies outside the passage
+                rest = rest[:begin] + [-1] * (end - begin) + rest[end:]
+                hits = [(i, j) for i, j in hits if j + GRAM <= begin or j >= end]
         return out
 
 
@@ -181,7 +187,7 @@ FOUND = "doc long, item long, length int, begin int, end int"
 
 
 def leaks(documents: DataFrame, key: str, text: str, held_out: DataFrame, item: str, item_text: str) -> DataFrame:
-    """FOUND: each document with each item it contains 14 successive words of (Chinese items: 20 characters).
+    """FOUND: each document with each item it contains 14 successive words of (Chinese items: 20 characters), a row for each such passage.
 
     length is the number of the item's words found; begin and end count the
     document's words (see ``tokens``). One pass without a shuffle for each 64 MB of items. Null
@@ -232,6 +238,6 @@ def without_spans(documents: DataFrame, key: str, text: str, found: DataFrame) -
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.string())], names=["key", "text"])
 
-    spans = found.where("doc is not null").groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # at most one span for each item
+    spans = found.where("doc is not null").groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # a document's own passages
     joined = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(spans, F.col("key") == F.col("doc"), "left")
     return joined.select("key", "text", "spans").mapInArrow(run, "key long, text string").select(F.col("key").alias(key), F.col("text").alias(text))

@@ -90,3 +90,19 @@ def test_items_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(items, "d long, t string")
     got = k.leaks(docs, "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t").collect()
     assert sorted((r.doc, r.item) for r in got) == [(n, n) for n in range(12)]
+
+
+def test_every_passage_of_an_item(spark):
+    """An item that a document holds twice, or in two parts, is found and removed each time."""
+    rng = random.Random(6)
+    item, other = _item(rng, 40), _item(rng, 40)
+    words = item.split()
+    text = "Start here. " + item + " Between both. " + item + " And parts " + " ".join(words[:16]) + " apart zzz qqq yyy vvv uuu " + " ".join(words[20:38]) + " the end."
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "nothing at all")], "doc_id long, text string")
+    held = spark.createDataFrame([(7, item), (8, other)], "item_id long, text string")
+    found = k.leaks(docs, "doc_id", "text", held, "item_id", "text")
+    spans = sorted((r.begin, r.end) for r in found.where("doc = 1").collect())
+    assert len(spans) == 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    left = {r.doc_id: r.text for r in k.without_spans(docs, "doc_id", "text", found).collect()}
+    again = k.leaks(spark.createDataFrame(list(left.items()), "doc_id long, text string"), "doc_id", "text", held, "item_id", "text")
+    assert again.count() == 0 and "start here" in left[1] and "between both" in left[1] and "apart zzz" in left[1] and "the end" in left[1] and left[3] == "nothing at all"
