@@ -82,3 +82,18 @@ def test_nested_elements_equal_a_walk(spark):
             want["details", r.score_no, f"memory_details[{i}]"] += 1
     assert Counter(map(tuple, p3_found(spark, FOLDER).collect())) == want
     assert json is not None
+
+
+def test_flat_tables_hold_the_values(spark):
+    import json
+
+    from tessera.queries import p3_found, p3_tables
+
+    rows = p3_tables(spark, FOLDER).collect()
+    assert len(rows) == p3_found(spark, FOLDER).count()
+    assert all((r.parent_pos is not None) == (r.type.count("[]") == 2) for r in rows)
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "number": (int, float), "null": type(None)}
+    assert all(isinstance(json.loads(r.value) if r.value is not None else None, kinds[r.kind]) for r in rows)
+    texts = {(r.key, r.pos): json.loads(r.value).get("text") for r in rows if r.tbl == "details" and r.kind == "object"}
+    want = {(r.score_no, i): x.text for r in spark.read.parquet(f"{FOLDER}/sample_score.parquet").select("score_no", "details").collect() for i, x in enumerate((r.details and r.details.memory_details) or ()) if x is not None}
+    assert texts == want
