@@ -57,8 +57,13 @@ def valid_output(spark, folder):
     """First calls of each prompt and answer whose answer is a strict object with a rolling_summary."""
     calls = corpus.exportable(table(spark, folder, "export_user_chat_analysis"))
     got = answers(calls, "id", "response").where("answer is not null")
-    strict = F.udf(lambda s: (o := jsonx.record(s)) is not None and "rolling_summary" in o, "boolean", useArrow=True)
-    kept = got.where(strict("answer")).join(calls.select("id", "prompt"), "id")
+
+    def strict(batches):
+        for batch in batches:
+            found = [jsonx.record(x) for x in batch.column("answer").to_pylist()]
+            yield batch.filter(pa.array([o is not None and "rolling_summary" in o for o in found], pa.bool_()))
+
+    kept = got.mapInArrow(strict, got.schema).join(calls.select("id", "prompt"), "id")
     return first_occurrences(kept, ["prompt", "answer"], "id").select("id", "content_hash")
 
 
