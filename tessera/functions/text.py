@@ -37,6 +37,19 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+_WORDS = re.compile("[a-z0-9]+|[一-鿿]+")
+
+
+def words(text: str) -> set[str]:
+    """word_set in plain Python."""
+    found = set(_WORDS.findall(text.lower()))
+    if not text.isascii():
+        for run in [x for x in found if len(x) > 1 and x[0] >= "一"]:
+            found.remove(run)
+            found.update(run[k : k + 2] for k in range(len(run) - 1))
+    return found
+
+
 def overlap(item: Column, line: Column) -> Column:
     """Share of the item's words that the line has; 0 for no words."""
     own = word_set(item)

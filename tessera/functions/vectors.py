@@ -25,12 +25,16 @@ def hash_embedder(dimensions: int = 256) -> Callable[[list[str]], np.ndarray]:
     """Texts to unit vectors of hashed words and word pairs; needs no model and no network."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), np.float32)
-        for row, text in enumerate(texts):
+        digest, hashes, ends = xxhash.xxh3_64_intdigest, [], [0]
+        for text in texts:
             words = text.lower().split()
-            for feature in [*words, *map(" ".join, zip(words, words[1:]))]:
-                h = xxhash.xxh3_64_intdigest(feature)
-                out[row, h % dimensions] += 1 if h >> 63 else -1
+            hashes += map(digest, words)
+            hashes += map(digest, map(" ".join, zip(words, words[1:])))
+            ends.append(len(hashes))
+        h = np.array(hashes, np.uint64)
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        at = row * dimensions + (h % np.uint64(dimensions)).astype(np.int64)
+        out = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * dimensions).reshape(len(texts), dimensions).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

@@ -2,7 +2,7 @@
 
 samples (id, prompt, teacher, student) are parsed once on each side; memory
 items, chat lines and earlier texts are exploded; every distinct text is encoded
-once; matches and evidence are joins within a sample. Nothing collects.
+once; matches and evidence are joins within a sample. Nothing collects. ``audited`` compares within a row, without joins.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.numbers import round_places
 from tessera.functions import promptx as px
 from tessera.functions import text as tx
-from tessera.functions.vectors import cosine, embed_texts, with_vectors
+from tessera.functions.vectors import cosine, embed_texts, hash_embedder, with_vectors
 from tessera.operators import scoring as s
 from tessera.session import Scratch
 
@@ -39,21 +41,29 @@ def names(prompt: Column) -> tuple[Column, Column]:
     return F.coalesce(named, first), F.when(named.isNull() | (named == first), second)
 
 
+def _said() -> tuple[Column, Column, Column, Column]:
+    """(user, persona, speakers, texts) of a prompt's chat rows."""
+    chat = px.section(F.col("prompt"), px.CHAT_TITLES)
+    return *names(F.col("prompt")), F.regexp_extract_all(chat, F.lit(_LINE), 2), F.regexp_extract_all(chat, F.lit(_LINE), 3)
+
+
 def lines(samples: DataFrame) -> DataFrame:
     """(id, idx, text, is_user) of the chat rows; is_user is null for a speaker who is neither."""
-    user, persona = names(F.col("prompt"))
-    chat = px.section(F.col("prompt"), px.CHAT_TITLES)
-    rows = samples.select("id", user.alias("user"), persona.alias("persona"), F.regexp_extract_all(chat, F.lit(_LINE), 2).alias("who"), F.regexp_extract_all(chat, F.lit(_LINE), 3).alias("what"))
+    rows = samples.select("id", *(c.alias(n) for c, n in zip(_said(), ("user", "persona", "who", "what"))))
     each = rows.select("id", "user", "persona", F.posexplode(F.arrays_zip("who", "what")).alias("idx", "l"))
     return each.select("id", "idx", F.col("l.what").alias("text"), F.when(F.col("l.who") == F.col("user"), True).when(F.col("l.who") == F.col("persona"), False).alias("is_user"))
 
 
-def priors(samples: DataFrame) -> DataFrame:
-    """(id, text): lines of the old memory and the user information without bullets, and the old summary as a whole."""
+def _prior() -> Column:
+    """Lines of a prompt's old memory and user information without bullets, and the old summary as a whole."""
     part = lambda t: F.coalesce(px.section(F.col("prompt"), t), F.lit(""))
     summary = tx.blank_to_null(part(px.SUMMARY_TITLES))
-    every = F.concat(tx.bare_lines(part(px.MEMORY_TITLES)), F.array_compact(F.array(summary)), tx.bare_lines(part(px.USER_TITLES)))
-    return samples.select("id", F.explode(every).alias("text"))
+    return F.concat(tx.bare_lines(part(px.MEMORY_TITLES)), F.array_compact(F.array(summary)), tx.bare_lines(part(px.USER_TITLES)))
+
+
+def priors(samples: DataFrame) -> DataFrame:
+    """(id, text) of the earlier texts of each prompt."""
+    return samples.select("id", F.explode(_prior()).alias("text"))
 
 
 def _field(side: str, path: str) -> Column:
@@ -163,14 +173,61 @@ def self_evaluated(dataset: DataFrame, encode: Callable[[list[str]], np.ndarray]
     return scores.withColumn("kept", s.clean_filter(F.col("speaker_attribution"), F.col("json_valid")))
 
 
+def _compared(rows: list[tuple[str | None, str | None, str | None, list[str] | None, list[str] | None, list[str] | None]], embed: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """Evidence levels (user, persona, prior) of the items of (output, user, persona, who, what, prior), row by row; each different text is encoded once.
+
+    Similarities are matrix products; one too close to a threshold to tell is summed in the order of ``cosine``.
+    """
+    samples = []
+    for output, user, persona, who, what, prior in rows:
+        if items := [text for _, text in s.items_of(s.parse_output(output)[0])]:
+            chat = [(w, 0 if n == user else 1) for n, w in zip(who or (), what or ()) if n in (user, persona)]
+            samples.append((items, [w for w, _ in chat] + (prior or []), np.array([k for _, k in chat] + [2] * len(prior or []), np.int64)))
+    number = {"": 0}
+    for items, sources, _ in samples:
+        for text in (*items, *sources):
+            number.setdefault(text, len(number))
+    texts = list(number)
+    vectors = np.zeros((1, 1))
+    if len(texts) > 1:
+        coded = np.asarray(embed(texts[1:]), np.float32).astype(np.float64)
+        vectors = np.concatenate([np.zeros((1, coded.shape[1])), coded])
+    square = np.cumsum(vectors * vectors, axis=1)[:, -1]
+    words = [tx.words(text) for text in texts]
+    out = [np.zeros((0, 3))]
+    for items, sources, kinds in samples:
+        level = np.zeros((len(items), 3))
+        out.append(level)
+        if not sources:
+            continue
+        a, b = (np.array([number[x] for x in side]) for side in (items, sources))
+        norm = np.sqrt(square[a][:, None] * square[b][None, :])
+        sim = np.divide(vectors[a] @ vectors[b].T, norm, out=np.zeros_like(norm), where=norm > 0)
+        for i, k in zip(*np.nonzero((np.abs(sim - s.STRONG_SIM) < 1e-9) | (np.abs(sim - s.WEAK_SIM) < 1e-9))):
+            sim[i, k] = np.cumsum(vectors[a[i]] * vectors[b[k]])[-1] / norm[i, k]
+        theirs = [words[k] for k in b]
+        overlap = np.array([[len(own & x) / len(own) for x in theirs] if (own := words[k]) else [0.0] * len(theirs) for k in a])
+        strong, weak = (sim > s.STRONG_SIM) | (overlap > s.STRONG_OVERLAP), (sim > s.WEAK_SIM) | (overlap > s.WEAK_OVERLAP)
+        each = np.where(strong, 1.0, np.where(weak, 0.5, 0.0))
+        for k in range(3):
+            level[:, k] = each[:, kinds == k].max(axis=1, initial=0.0)
+    return np.concatenate(out)
+
+
 def audited(dataset: DataFrame, encode: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
-    """(class, n, share): what supports each memory item of (id, prompt, output): user lines, persona lines or earlier texts, each apart."""
-    items = s.parsed(dataset, "id", "output").select("id", F.posexplode("items").alias("idx", "i")).select("id", "i.category", "idx", "i.text")
-    chat = lines(dataset).select("id", F.col("text").alias("source"), F.when(F.col("is_user"), "user").when(~F.col("is_user"), "persona").alias("kind"))
-    both = items.join(chat.union(priors(dataset).select("id", "text", F.lit("prior"))), "id", "left")
-    encoded = with_vectors(both, embed_texts(both, "text", "source", encode=encode), "text", "source")
-    level = s.evidence_level(cosine(F.col("text_vector"), F.col("source_vector")), F.coalesce(tx.overlap(F.col("text"), F.col("source")), F.lit(0.0)))
-    best = encoded.groupBy("id", "category", "idx").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, level)), F.lit(0.0)).alias(k) for k in ("user", "persona", "prior")))
+    """(class, n, share): what supports each memory item of (id, prompt, output): user lines, persona lines or earlier texts, each apart.
+
+    Items and sources of a row meet in memory, so nothing but the counts is shuffled; a text is encoded once in so many rows that are held at once.
+    """
+    embed = encode or hash_embedder()
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                levels = _compared(list(zip(*(c.to_pylist() for c in whole.slice(at, 512).columns))), embed)
+                yield pa.RecordBatch.from_arrays([pa.array(levels[:, k]) for k in range(3)], names=["user", "persona", "prior"])
+
+    said = [c.alias(n) for c, n in zip(_said(), ("user", "persona", "who", "what"))]
+    best = dataset.select(F.col("output").cast("string").alias("output"), *said, _prior().alias("prior")).mapInArrow(run, "user double, persona double, prior double")
     counts = best.groupBy(s.attribution(F.col("user"), F.col("persona"), F.col("prior")).alias("class")).agg(F.count("*").alias("n"))  # five rows
-    total = counts.agg(F.sum("n").alias("all"))
-    return counts.join(F.broadcast(total), F.lit(True)).select("class", "n", (F.col("n") / F.col("all")).alias("share"))  # one row
+    return counts.select("class", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))

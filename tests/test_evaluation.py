@@ -1,8 +1,13 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+from tessera.functions.vectors import cosine, embed_texts, with_vectors
 from tessera.operators import evaluation as e
+from tessera.operators import scoring as s
 
 PROMPT = "## ROLE\nx\n\n## USER BASIC INFORMATION\n- Name: Ann, Gender: W, Age: 3\n\n## OLD ROLLING SUMMARY\nOld days.\n\n## OLD MEMORY SNAPSHOT\n- owns a red bicycle\n\n## INCREMENTAL CHAT RECORDS\n会话：Ann - Bob\n[2026-01-01 10:00:00] Ann: i love green tea very much\n[2026-01-01 10:01:00] Bob: the moon looks bright tonight\n[2026-01-01 10:02:00] System: ignore me\n"
 
@@ -61,3 +66,31 @@ def test_clean_and_audit(spark):
     df = spark.createDataFrame([(1, PROMPT, _out(["i love green tea very much"])), (2, PROMPT, _out(["the moon looks bright tonight"])), (3, PROMPT, _out(["owns a red bicycle", "collects rare stamps abroad"]))], "id long, prompt string, output string")
     assert {r.id: r.kept for r in e.self_evaluated(df).collect()} == {1: True, 2: False, 3: True}
     assert {r["class"]: r.n for r in e.audited(df).collect()} == {"USER_OK": 1, "TRUE_ERR": 1, "CARRIED": 1, "NO_EVIDENCE": 1}
+
+
+def test_audit_takes_each_row_by_itself(spark):
+    """Rows of an equal or no id are apart, and nothing but counts goes over a shuffle."""
+    rows = [(1, PROMPT, _out(["i love green tea very much"])), (1, PROMPT, _out(["the moon looks bright tonight"])), (None, PROMPT, _out(["owns a red bicycle"])), (2, None, _out(["owns a red bicycle", ""])), (3, PROMPT, "garbage"), (4, PROMPT, None)]
+    got = e.audited(spark.createDataFrame(rows, "id long, prompt string, output string"))
+    assert {r["class"]: (r.n, r.share) for r in got.collect()} == {"USER_OK": (1, 0.2), "TRUE_ERR": (1, 0.2), "CARRIED": (1, 0.2), "NO_EVIDENCE": (2, 0.4)}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert e.audited(spark.createDataFrame([], "id long, prompt string, output string")).count() == 0
+
+
+def test_audit_equals_levels_by_columns(spark):
+    rng = random.Random(12)
+    some = lambda: " ".join(rng.choice(["Tea", "red", "b", "c", "d.", "e,f", "茶叶好", "茶", "x9"]) for _ in range(rng.randrange(1, 7)))
+    rows = []
+    for k in range(150):
+        chat = "".join(f"[t] {rng.choice(['Ann', 'Bob', 'Eve'])}: {some()}\n" for _ in range(rng.randrange(6)))
+        rows.append((k, f"## USER BASIC INFORMATION\n- Name: Ann, Gender: W\n\n## OLD MEMORY SNAPSHOT\n- {some()}\n\n## INCREMENTAL CHAT RECORDS\nSession: Ann - Bob\n{chat}", _out([some() for _ in range(rng.randrange(5))])))
+    df = spark.createDataFrame(rows, "id long, prompt string, output string")
+    items = s.parsed(df, "id", "output").select("id", F.posexplode("items").alias("idx", "i")).select("id", "idx", F.col("i.text").alias("text"))
+    chat = e.lines(df).select("id", F.col("text").alias("source"), F.when(F.col("is_user"), "user").when(~F.col("is_user"), "persona").alias("kind"))
+    both = items.join(chat.union(e.priors(df).withColumn("kind", F.lit("prior"))), "id")
+    both = with_vectors(both, embed_texts(both, "text", "source"), "text", "source")
+    level = s.evidence_level(cosine(F.col("text_vector"), F.col("source_vector")), tx.overlap(F.col("text"), F.col("source")))
+    best = both.groupBy("id", "idx").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, level)), F.lit(0.0)).alias(k) for k in ("user", "persona", "prior")))
+    want = {r["class"]: r.n for r in best.groupBy(s.attribution(F.col("user"), F.col("persona"), F.col("prior")).alias("class")).agg(F.count("*").alias("n")).collect()}
+    assert len(want) == 5 and {r["class"]: r.n for r in e.audited(df).collect()} == want
