@@ -32,6 +32,10 @@ SPAN = 8
 SHARE, ROWS, TOP = 4, 12, 6
 #: Words of an index (12 bytes each), or different words whose postings go out at once.
 SHARD = POSTINGS = 4_000_000
+#: Linked records of more than so many are passed over as a whole by each of them.
+FAMILY = 32
+#: Keys of records that are newly linked go out as a whole up to so many (8 bytes each).
+FRESH = 1_000_000
 #: Near-same records have so many percent of the larger one's words in common.
 PERCENT = 85
 
@@ -132,8 +136,8 @@ class Bags:
         self.words, self.counts, self.length = words, counts.astype(np.int64), length
         self.starts = np.cumsum(length) - length
 
-    def common(self, mine: np.ndarray, other: "Bags", theirs: np.ndarray) -> np.ndarray:
-        """Words that bag mine[k] here and bag theirs[k] of the other have in common, with repeats."""
+    def common(self, mine: np.ndarray, other: "Bags", theirs: np.ndarray, below: int = 0) -> np.ndarray:
+        """Words that bag mine[k] here and bag theirs[k] of the other have in common, with repeats; words may be numbers from 0 below some number."""
         if not len(mine):
             return np.empty(0, np.int64)
         sides = []
@@ -142,13 +146,17 @@ class Bags:
             place = np.repeat(bags.starts[k], length) + _spread(length)
             sides.append((np.repeat(np.arange(len(k)), length), bags.words[place], bags.counts[place]))
         (p, w, c), (q, v, d) = sides
-        known, symbol = np.unique(w, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-        held = known[at] == v
-        left, right = p * len(known) + symbol, q[held] * len(known) + at[held]  # both ascend, as words do in a bag
+        if not below:
+            known, w = np.unique(w, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            held = known[at] == v
+            q, v, d, below = q[held], at[held], d[held], len(known)
+        if not len(w):
+            return np.zeros(len(mine), np.int64)
+        left, right = p * below + w, q * below + v  # both ascend, as words do in a bag
         found = np.minimum(np.searchsorted(left, right), len(left) - 1)
         same = left[found] == right
-        return np.bincount(q[held][same], np.minimum(c[found[same]], d[held][same]), len(mine)).astype(np.int64)
+        return np.bincount(q[same], np.minimum(c[found[same]], d[same]), len(mine)).astype(np.int64)
 
 
 LINKS = "a long, b long, words long, matched long, covered long, longest long, occurrences long"
@@ -243,16 +251,16 @@ class Postings:
     """Bags of words by word; finds all bags that share percent of the larger one's words with a given bag."""
 
     def __init__(self, keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, starts: np.ndarray):
-        # bags of one root are neighbours, so a given root's are passed over at once; behind them, those alone under their root by size
+        # bags of one large root are neighbours, so a given root's are passed over at once; behind them, the others by size
         _, back, often = np.unique(roots, return_inverse=True, return_counts=True)
-        many = often[back] > 1
+        many = often[back] > FAMILY
         order = np.lexsort((sizes, np.where(many, roots, 0), ~many))
         self.many = int(many.sum())
         length = np.diff(starts)[order]
         place = np.repeat(starts[:-1][order], length) + _spread(length)
         self.keys, self.roots, self.sizes = keys[order], roots[order], sizes[order]
-        self.bags = Bags(words[place], counts[place], length)
-        self.vocabulary, symbols = np.unique(self.bags.words, return_inverse=True)
+        self.vocabulary, symbols = np.unique(words[place], return_inverse=True)
+        self.bags = Bags(symbols, counts[place], length)
         postings = symbols * len(keys) + np.repeat(np.arange(len(keys)), length)
         order = np.argsort(postings)
         self.postings, self.times = postings[order], self.bags.counts[order]
@@ -286,6 +294,7 @@ class Postings:
             taken = order[(upto - c < (differ + 1 + n // 16)[row])]
             least = np.bincount(row[taken], counts[taken], k) - differ
             taken = taken[known[taken] & (np.bincount(row[~known], counts[~known], k) <= differ)[row[taken]]]
+            taken = taken[np.argsort(at[taken])]  # neighbours in the postings are looked up one after the other
             of, symbol, times = row[taken], at[taken] * len(self.keys), counts[taken]
             alone = self.sizes[self.many :]
             ranges = [(self.many + np.searchsorted(alone, smallest), self.many + np.searchsorted(alone, largest + 1))]
@@ -300,12 +309,13 @@ class Postings:
                 cells.append(self.postings[place] + np.repeat(of * len(self.keys) - symbol, length))
                 shared.append(np.minimum(self.times[place], np.repeat(times, length)))
             common = np.bincount(np.concatenate(cells), np.concatenate(shared), k * len(self.keys)).reshape(k, len(self.keys))
-            mine, theirs = np.nonzero(common >= least[:, None])
+            mine, theirs = np.divmod(np.flatnonzero(common >= least[:, None]), len(self.keys))
             ok = (self.roots[theirs] != root[mine]) & (self.sizes[theirs] >= smallest[mine]) & (self.sizes[theirs] <= largest[mine])
             mine, theirs = mine[ok], theirs[ok]
+            told = Bags(at[known], counts[known], np.bincount(row[known], minlength=k))
             for part in range(0, len(mine), 4096):
                 x, y = mine[part : part + 4096], theirs[part : part + 4096]
-                near = own.common(x + begin, self.bags, y) * 100 >= percent * np.maximum(self.sizes[y], n[x])
+                near = told.common(x, self.bags, y, len(self.vocabulary)) * 100 >= percent * np.maximum(self.sizes[y], n[x])
                 out.append((x[near] + begin, self.keys[y[near]]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -342,20 +352,27 @@ def searched(bags: DataFrame, roots: DataFrame, scratch: Scratch, percent: int =
 
     First the held records and those linked to one are compared with all, then those that became linked to one, until there are no more.
     """
-    rooted = bags.select("key", "held", "n", "w", "c").join(roots, F.col("key") == F.col("node"), "left")
-    bags = scratch.keep(rooted.select("key", "held", F.coalesce("root", "key").alias("root"), "n", "w", "c"), "rooted")
-    tried = None
+    least = bags.select("key", "held")
+
+    def reached(roots: DataFrame) -> DataFrame:
+        """(key, root, seed) of all records; seeds are under the root of a held one."""
+        now = least.join(roots, F.col("key") == F.col("node"), "left").select("key", "held", F.coalesce("root", "key").alias("root"))
+        return now.join(now.where("held").select("root", F.lit(True).alias("seed")).distinct(), "root", "left").select("key", "root", F.coalesce("seed", F.lit(False)).alias("seed")).distinct()
+
+    # the words go over one shuffle, with the root and whether they are asked about first
+    bags = scratch.keep(bags.select("key", "n", "w", "c").hint("merge").join(reached(roots), "key").select("key", "root", "seed", "n", "w", "c"), "rooted")
+    seeds, tried = bags.where("seed"), bags.where("seed").select("key")
     for k in itertools.count():
-        now = bags.select("key", "held").join(roots, F.col("key") == F.col("node"), "left").select("key", "held", F.coalesce("root", "key").alias("now"))
-        seeds = now.join(now.where("held").select("now").distinct(), "now", "left_semi").select("key")
-        seeds = seeds if tried is None else seeds.join(tried, "key", "left_anti")
-        seeds = scratch.keep(bags.join(seeds.distinct(), "key").select("key", "root", "n", "w", "c"), f"seeds{k}")
+        if k:
+            fresh = scratch.keep(reached(roots).where("seed").select("key").join(tried, "key", "left_anti"), f"fresh{k}")
+            few = fresh.count() <= FRESH
+            seeds = scratch.keep(bags.join(F.broadcast(fresh) if few else fresh.hint("merge"), "key", "left_semi").select("key", "root", "n", "w", "c"), f"seeds{k}")
+            tried = tried.union(fresh)
         if seeds.isEmpty():
             return roots
         found = scratch.keep(_links(bags, seeds, percent), f"found{k}")
         if found.isEmpty():
             return roots
-        tried = seeds.select("key") if tried is None else tried.union(seeds.select("key"))
         roots = components(found.union(roots.select("node", "root")), Scratch(scratch.spark, "searched"))
 
 
@@ -376,7 +393,7 @@ def overlaps(df: DataFrame, key: str, text: str, split: str) -> tuple[DataFrame,
     feats = scratch.keep(features(df, key, text, order=True), "features")
     held = F.count_if(F.col("split_name") != "train") > 0
     prints = scratch.keep(feats.select("key", "f1", "f2").join(labels, "key", "left").groupBy("f1", "f2").agg(F.min("key").alias("key"), held.alias("held")), "prints")
-    bags = scratch.keep(feats.join(prints, ["key", "f1", "f2"]).dropDuplicates(["f1", "f2"]).select("key", "held", "n", "w", "c", "t"), "bags")
+    bags = scratch.keep(feats.hint("merge").join(prints, ["key", "f1", "f2"]).dropDuplicates(["key", "f1", "f2"]).select("key", "held", "n", "w", "c", "t"), "bags")
     links = scratch.keep(indexed(bags, scratch), "links")
     roots = scratch.keep(components(links.select("a", "b"), Scratch(df.sparkSession, "linked")), "roots")
     roots = searched(bags, roots, scratch)

@@ -154,3 +154,47 @@ def test_common_words_equal_brute_force():
     mine, theirs = rng.integers(0, 40, 200), rng.integers(0, 40, 200)
     want = [sum(min(c, dict(zip(*map(list, raw[b]))).get(w, 0)) for w, c in zip(*map(list, raw[a]))) for a, b in zip(mine, theirs)]
     assert bags.common(mine, bags, theirs).tolist() == want and not len(bags.common(mine[:0], bags, theirs[:0]))
+
+
+def test_words_go_over_few_shuffles(spark):
+    """The words and the order of all records are shuffled once for the copies, the words once for the search."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    rows = [(k, _prompt([word() for _ in range(100)]), "test" if k % 20 == 0 else "train") for k in range(1000)]
+    df = spark.createDataFrame(rows, "row_no long, prompt string, split string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of any size are joined
+    try:
+        before = written()
+        members, _ = o.overlaps(df, "row_no", "prompt", "split")
+        assert members.count() == 0
+        assert written() - before < 4 * 1000 * 100 * 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_postings_pass_over_the_own_root(monkeypatch):
+    """Large families are passed over as a whole, small ones by their roots."""
+    monkeypatch.setattr(o, "FAMILY", 6)
+    rng = np.random.default_rng(7)
+    roots = np.concatenate([np.repeat(k, size) for k, size in enumerate([40, 20, 6, 3, 1, 1, 1])])
+    base = [rng.integers(0, 60, 50) for _ in range(4)]
+    raw = []
+    for root in roots:
+        text = base[root % 4].copy()
+        text[rng.random(50) < 0.06] = 60 + rng.integers(0, 9)
+        raw.append(np.unique(text, return_counts=True))
+    flat = [np.concatenate([x[k] for x in raw]) for k in (0, 1)]
+    length = np.array([len(w) for w, _ in raw])
+    index = o.Postings(np.arange(len(raw)), roots, np.full(len(raw), 50), *flat, np.append(0, np.cumsum(length)))
+    given = np.where(rng.random(len(raw)) < 0.8, roots, 99)
+    common = lambda a, b: sum(min(c, dict(zip(*map(list, b))).get(w, 0)) for w, c in zip(*map(list, a)))
+    want = {(i, k) for i in range(len(raw)) for k in range(len(raw)) if given[i] != roots[k] and common(raw[i], raw[k]) * 100 >= 85 * 50}
+    assert len(want) > 300 and set(zip(*(x.tolist() for x in index.near_all(o.Bags(*flat, length), given, 85, at_once=16)))) == want
